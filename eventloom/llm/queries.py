@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, tokens
+from . import decontam, mixing, neardup, quality, tokens, toxicity
 from .common import table
 
 #: Path of a public tokenizer's vocabulary file; a parameter of op8.
@@ -24,6 +24,14 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), piece_model(), TOKEN_LIMIT)
 
@@ -37,7 +45,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_compression_bands, op8_token_counts, op9_decontaminate, op10_mix_sources)}
+    return {f.__name__: f for f in (op3_compression_bands, op6_ftrl_toxicity, op7_weighted_minhash, op8_token_counts, op9_decontaminate, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
