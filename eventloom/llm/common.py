@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of Python operators small, so long texts fit a worker."""
+    """Keep the Arrow batches of Python operators small, so long texts fit a worker; see that workers have this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, once for each application, unless their PYTHONPATH has it."""
+    root = Path(__file__).resolve().parents[2]
+    known = {str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in known or spark.conf.get("spark.eventloom.shipped", None) == spark.sparkContext.applicationId:
+        return
+    path = f"{tempfile.mkdtemp(prefix='eventloom-')}/eventloom.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted((root / "eventloom").rglob("*.py")):
+            out.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set("spark.eventloom.shipped", spark.sparkContext.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, quality, tokens, toxicity
+from . import chat, decontam, extract, mixing, neardup, quality, tokens, toxicity, urlgraph, warc
 from .common import table
 
 #: Path of a public tokenizer's vocabulary file; a parameter of op8.
@@ -20,10 +20,26 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
+def op2_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,8 +61,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_compression_bands, op6_ftrl_toxicity, op7_weighted_minhash, op8_token_counts, op9_decontaminate, op10_mix_sources)}
+    every = (
+        op1_warc_records, op2_role_repair, op3_compression_bands, op4_main_text, op5_url_verdicts, op6_ftrl_toxicity,
+        op7_weighted_minhash, op8_token_counts, op9_decontaminate, op10_mix_sources,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": mixing.ORACLE}
+    return {"op1_warc_records": warc.ORACLE, "op10_mix_sources": mixing.ORACLE}
