@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    for name in ("market",):
+        importlib.import_module(f"eventloom.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
 
 
