@@ -18,7 +18,7 @@ R = 8  # digits that floating results are compared at
 
 
 def r(c: str, name: str | None = None):
-    return F.round(F.col(c), R).alias(name or c)
+    return (F.round(F.col(c), R) + F.lit(0.0)).alias(name or c)  # a negative zero becomes zero
 
 
 RETURNS = "returns AS (SELECT * FROM (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM prices) WHERE ret IS NOT NULL)"
