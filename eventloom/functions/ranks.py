@@ -17,9 +17,9 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: list[str], least: int =
     """by, n, ic: Spearman correlation of complete pairs; null for constant input; groups under `least` pairs are left out."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = pairs.withColumns({"_ra": average_rank(a, by), "_rb": average_rank(b, by)})
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("ic"), F.var_pop("_ra").alias("_va"), F.var_pop("_rb").alias("_vb"))
-    constant = (F.col("_va") == 0) | (F.col("_vb") == 0)
-    return out.where(F.col("n") >= least).select(*by, "n", F.when(~constant, F.col("ic")).alias("ic"))
+    # corr() divides by the deviations, which are zero for constant input
+    spread = F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), (F.covar_pop("_ra", "_rb") / spread).alias("ic")).where(F.col("n") >= least)
 
 
 def newey_west(ordered: Column, lag: int) -> Column:
