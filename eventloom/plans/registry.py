@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for name in ("market", "evaluation", "text", "learning"):
+    for name in ("market", "evaluation", "text", "audit", "learning"):
         importlib.import_module(f"eventloom.plans.{name}")
 
 
