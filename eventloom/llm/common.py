@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to a Python worker; texts of a few KB make it a few MB.
@@ -79,6 +80,21 @@ def range_parts(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame
     return stage(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), name)
 
 
+def neighbours(rows: DataFrame, order: list[str], carry: list[str], after: bool = True) -> DataFrame:
+    """rows with `before` and (if asked for) `after`: carry of the rows next to each in the global order.
+
+    Within a range by a window; over the bounds by the first and last row of each range, one row each.
+    """
+    dealt = range_parts(rows.withColumn("_me", F.struct(*carry)), [*order], "ordered")
+    ends = dealt.groupBy("_part").agg(F.min_by("_me", F.struct(*order)).alias("first"), F.max_by("_me", F.struct(*order)).alias("last"))
+    w, inner = W.orderBy("_part"), W.partitionBy("_part").orderBy(*order)
+    bounds = ends.select(F.col("_part").alias("_p"), F.lag("last").over(w).alias("_before"), F.lead("first").over(w).alias("_after"))
+    both = {"before": F.lag("_me").over(inner)} | ({"after": F.lead("_me").over(inner)} if after else {})
+    own = dealt.withColumns(both)
+    joined = own.join(bounds, own["_part"] == bounds["_p"])
+    return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in both}).drop("_me", "_part", "_p", "_before", "_after")
+
+
 # ---- vectorised work on the bytes of an Arrow batch ----
 
 

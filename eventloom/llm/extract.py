@@ -25,10 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Runs, blocks, byte_set, range_parts, small_batches, stage, utf8
+from .common import Runs, blocks, byte_set, neighbours, small_batches, utf8
 from .urlgraph import host_of, path_of
 
 #: Elements whose content is never text; elements that are page furniture; elements that end a block.
@@ -226,23 +225,6 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
 
-def neighbours(rows: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
-    """rows with `before` and `after`: carry of the rows next to each in the global order.
-
-    Within a range by a window; over the bounds by the first and last row of each range, one row each.
-    """
-    dealt = range_parts(rows.withColumn("_me", F.struct(*carry)), [*order], "ordered")
-    first_last = dealt.groupBy("_part").agg(
-        F.min_by("_me", F.struct(*order)).alias("first"), F.max_by("_me", F.struct(*order)).alias("last")
-    )
-    w = W.orderBy("_part")
-    bounds = first_last.select(F.col("_part").alias("_p"), F.lag("last").over(w).alias("_before"), F.lead("first").over(w).alias("_after"))
-    inner = W.partitionBy("_part").orderBy(*order)
-    own = dealt.withColumns({"before": F.lag("_me").over(inner), "after": F.lead("_me").over(inner)})
-    joined = own.join(bounds, own["_part"] == bounds["_p"])
-    return joined.withColumns({"before": F.coalesce("before", "_before"), "after": F.coalesce("after", "_after")}).drop("_me", "_part", "_p", "_before", "_after")
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
     small_batches(pages.sparkSession)

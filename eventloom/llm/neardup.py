@@ -6,11 +6,11 @@
 2. A map over the texts gives each a fingerprint of its words and BANDS hashes of ROWS weighted samples each. Texts with
    equal fingerprints are one unit from here on.
 3. In each bucket (band, hash) every unit is paired with the bucket's pivot, and with the pivot of those that share the
-   next band as well: candidates are linear in the units, whatever the size of a bucket. Pairs whose total weights
-   rule out the threshold go.
+   next band as well, and with its neighbours in the bucket sorted by further bands: candidates are linear in the
+   units, whatever the size of a bucket. Pairs whose total weights rule out the threshold go.
 4. Each candidate is verified: exact weighted Jaccard similarity of the two shingle vectors, THRESHOLD or more.
 5. Connected components of the verified links (large-star, small-star) give the classes. Where a bucket still holds
-   more than one component, steps 3 to 5 go on with other pivots until a turn finds no further link.
+   more than one component, steps 3 to 5 are repeated with other pivots, TURNS turns in all.
 
 Words are runs of bytes outside white space and . , ; : ! ? quotes and brackets, in lower case. A text of one to four words has one
 shingle of them all.
@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Runs, _powers, blocks, byte_set, mix, small_batches, stage, utf8
+from .common import ASCII_SPACE, Runs, _powers, blocks, byte_set, mix, neighbours, small_batches, stage, utf8
 from .toxicity import lower
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 14, 0.06 %.
 BANDS, ROWS = 14, 4
+#: Turns of candidate search; a bucket is sorted by DEPTH bands at each of these distances.
+TURNS, DEPTH, STRIDES = 3, 5, (1, 3)
 IDF_BUCKETS = 1 << 16
 #: Ids that may be broadcast to select texts; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
@@ -167,11 +169,25 @@ def members(units: DataFrame) -> DataFrame:
     return member.join(shared, ["band", "hash"])
 
 
-def candidates(member: DataFrame, turn: int) -> DataFrame:
+def adjacent(member: DataFrame, units: DataFrame) -> DataFrame:
+    """Pairs (fp, other, total, other_total) of units next to each other in a bucket sorted by their further bands.
+
+    Near copies share bands, so they sort near one another. The order is global (see neighbours): no bucket is gathered.
+    """
+    bands = units.select("fp", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands"))
+    rest = F.array(*[F.array(*[F.get("bands", F.pmod(F.col("band") + d * s, F.lit(BANDS))) for d in range(1, DEPTH)]) for s in STRIDES])
+    sorts = member.join(bands, "fp").select("band", "hash", "fp", "total", F.posexplode(rest).alias("stride", "rest"))
+    order = ["band", "hash", "stride", "rest", "fp"]
+    rows = neighbours(sorts, order, ["band", "hash", "stride", "fp", "total"], after=False)
+    same = (F.col("band") == F.col("before.band")) & (F.col("hash") == F.col("before.hash")) & (F.col("stride") == F.col("before.stride"))
+    return rows.where(same).select("fp", "total", F.col("before.fp").alias("other"), F.col("before.total").alias("other_total"))
+
+
+def candidates(member: DataFrame, units: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b), a < b: each unit with the pivots of its buckets, where both aren't in one component yet.
 
-    The first turn takes the smallest fingerprint, so the bands agree on few pairs; later turns take the first and last by a
-    hash of (fingerprint, band, turn), so every band has pivots of its own.
+    The first turn takes the smallest fingerprint, so the bands agree on few pairs, and adds adjacent units; later turns
+    take the first and last by a hash of (fingerprint, band, turn), so every band has pivots of its own.
     """
     order = F.xxhash64("fp", "band", F.lit(turn)) if turn else F.lit(0)
     one = F.struct(order.alias("order"), "fp", "total", "root")
@@ -180,11 +196,13 @@ def candidates(member: DataFrame, turn: int) -> DataFrame:
         pivots = [F.min(one), F.max(one)] if turn else [F.min(one)]
         pivot = member.groupBy(*keys).agg(F.array(*pivots).alias("pivots"), F.count("*").alias("n"))
         both = member.join(pivot.where("n > 1").drop("n"), keys).select("fp", "total", "root", F.explode("pivots").alias("pivot"))
-        near = F.least("total", "pivot.total") >= THRESHOLD * 0.999 * F.greatest("total", "pivot.total")
-        both = both.where((F.col("root") != F.col("pivot.root")) & near)
-        found = both.select(F.least("fp", "pivot.fp").alias("a"), F.greatest("fp", "pivot.fp").alias("b"))
+        both = both.where(F.col("root") != F.col("pivot.root"))
+        found = both.select("fp", "total", F.col("pivot.fp").alias("other"), F.col("pivot.total").alias("other_total"))
         pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.distinct()
+    if not turn:
+        pairs = pairs.unionByName(adjacent(member, units))
+    near = F.least("total", "other_total") >= THRESHOLD * 0.999 * F.greatest("total", "other_total")
+    return pairs.where(near).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,27 +252,35 @@ def verified(pairs: DataFrame, vectors: DataFrame, idf) -> DataFrame:
 
 
 def linked(rows: DataFrame, units: DataFrame, idf) -> DataFrame:
-    """(node, root) of the units that have a verified link; turns go on until one adds no link."""
+    """(node, root) of the units that have a verified link."""
     member = stage(members(units), "members")
     wanted = stage(units.join(member.select("fp").distinct(), "fp").select(F.col("rep").alias("doc_id"), "fp"), "wanted")
     vectors = stage(rows.join(sized_broadcast(wanted), "doc_id").select("fp", "_text").mapInArrow(_vectors, "fp binary, vec binary"), "vectors")
-    edges = tested = roots = None
-    turn = 0
-    while True:
-        at = member.withColumn("root", F.col("fp")) if roots is None else member.join(
-            roots, member["fp"] == roots["node"], "left"
-        ).select(*member.columns, F.coalesce("root", "fp").alias("root"))
-        pairs = candidates(at, turn)
+    roots = tested = None
+    for turn in range(TURNS):
+        at = member.withColumn("root", F.col("fp")) if roots is None else rooted(member, "fp", roots)
+        pairs = candidates(at, units, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        new = stage(verified(pairs, vectors, idf), "links")
-        if turn and not new.limit(1).count():
-            return roots
-        edges = new if edges is None else edges.unionByName(new)
+        new = verified(pairs, vectors, idf).select("a", "b")
+        if roots is None:
+            roots = components(new)
+        else:
+            # links between components; their components, and what was under their roots before
+            for c in ("a", "b"):
+                new = rooted(new, c, roots).drop(c).withColumnRenamed("root", c)
+            above = components(new)
+            moved = roots.select("node", F.col("root").alias("old"))
+            roots = stage(rooted(moved, "old", above).select("node", "root").union(above).distinct(), "roots")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = components(edges)
-        turn += 1
+    return roots
+
+
+def rooted(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    """df with `root`, that of the column's node; a node without links is its own."""
+    named = roots.select(F.col("node").alias("_node"), "root")
+    return df.join(named, df[column] == named["_node"], "left").select(*[df[c] for c in df.columns], F.coalesce("root", column).alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,7 +293,7 @@ def components(edges: DataFrame) -> DataFrame:
         # large-star: each node's larger neighbours go to the smallest of its neighbourhood
         both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).union(edges.select("high", "low"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("low"), F.col("v").alias("high")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("m").alias("low"), F.col("v").alias("high"))
         # small-star: each node's smaller neighbours and itself go to the smallest of them
         least = large.groupBy("high").agg(F.min("low").alias("m"))
         small = large.join(least, "high")

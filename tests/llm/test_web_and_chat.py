@@ -9,6 +9,7 @@ from collections import defaultdict
 import pytest
 
 from eventloom.llm import chat, extract, urlgraph, warc
+from eventloom.llm.common import neighbours
 
 
 def pages(spark, rows):
@@ -85,7 +86,7 @@ def test_common_lines_is_a_longest_common_subsequence(seed):
 
 def test_neighbours_cross_ranges(spark):
     df = spark.createDataFrame([(k // 10, k) for k in range(57)], "g long, k long").repartition(7)
-    got = {r.k: (r.before and r.before.k, r.after and r.after.k) for r in extract.neighbours(df, ["g", "k"], ["g", "k"]).collect()}
+    got = {r.k: (r.before and r.before.k, r.after and r.after.k) for r in neighbours(df, ["g", "k"], ["g", "k"]).collect()}
     assert got == {k: (k - 1 if k else None, k + 1 if k < 56 else None) for k in range(57)}
 
 
