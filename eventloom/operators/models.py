@@ -10,6 +10,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import rank_correlation
+
 #: Fewer rows than this, or one class, give a constant.
 LEAST_ROWS = 20
 
@@ -36,13 +38,13 @@ def preparation(columns: list[str]) -> list:
     ]
 
 
-def fit(train: DataFrame, columns: list[str], label: str, name: str) -> PipelineModel | float:
+def fit(train: DataFrame, columns: list[str], label: str, name: str, **params) -> PipelineModel | float:
     """A fitted pipeline, or the mean label where the data are degenerate."""
     n, mean, kinds = train.agg(F.count(label), F.avg(label), F.count_distinct(label)).first()
     if n < LEAST_ROWS or kinds < 2:
         return float(mean) if mean is not None else 0.0
     live = [c for c, k in train.agg(*[F.count(c).alias(c) for c in columns]).first().asDict().items() if k]
-    return Pipeline(stages=[*preparation(live), factory(name, label)]).fit(train.where(F.col(label).isNotNull()))
+    return Pipeline(stages=[*preparation(live), factory(name, label, **params)]).fit(train.where(F.col(label).isNotNull()))
 
 
 def predict(model: PipelineModel | float, rows: DataFrame, name: str) -> DataFrame:
@@ -64,7 +66,7 @@ def out_of_fold(df: DataFrame, columns: list[str], label: str, name: str, group:
     return out.drop("fold")
 
 
-def walk_forward(df: DataFrame, folds: list[tuple[str, str]], at: str, ends: str, columns: list[str], label: str, name: str, least: int = 10) -> DataFrame:
+def walk_forward(df: DataFrame, folds: list[tuple[str, str]], at: str, ends: str, columns: list[str], label: str, name: str, least: int = 10, **params) -> DataFrame:
     """Test rows of each fold with p; a model trains on rows known before the fold whose label ended before it, too."""
     out = None
     for k, (start, stop) in enumerate(folds):
@@ -72,7 +74,7 @@ def walk_forward(df: DataFrame, folds: list[tuple[str, str]], at: str, ends: str
         test = df.where((F.col(at) >= start) & (F.col(at) < stop))
         if train.limit(least).count() < least:
             continue
-        part = predict(fit(train, columns, label, name), test, name).withColumn("fold", F.lit(k))
+        part = predict(fit(train, columns, label, name, **params), test, name).withColumn("fold", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else df.limit(0).withColumn("p", F.lit(0.0)).withColumn("fold", F.lit(0))
 
@@ -97,3 +99,13 @@ def text_model(train: DataFrame, text: str, label: str) -> PipelineModel:
 def leaderboard(results: DataFrame, recall: float) -> DataFrame:
     """Eligible models that reach the recall, best first: macro-F1, then ensembles, then id."""
     return results.where(F.col("eligible") & (F.col("recall") >= recall)).orderBy(F.desc("macro_f1"), F.desc("ensemble"), "model")
+
+
+def search(df: DataFrame, folds: list[tuple[str, str]], at: str, ends: str, columns: list[str], label: str, name: str, grid: list[dict]) -> tuple[dict, list[float | None]]:
+    """The parameters with the best mean rank correlation over purged walk-forward folds, and all means. The grid is small."""
+    means = []
+    for params in grid:
+        scored = walk_forward(df, folds, at, ends, columns, label, name, **params)
+        means.append(rank_correlation(scored, "p", label, ["fold"]).agg(F.avg("ic")).first()[0])
+    best = max(range(len(grid)), key=lambda k: (means[k] is not None, means[k] or 0.0, -k))
+    return grid[best], means

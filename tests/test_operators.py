@@ -273,3 +273,22 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((str(r.day), r.n) for r in spark.sql("select * from days").collect()) == [("2024-01-01", 2), ("2024-01-02", 1)]
+
+
+def test_validation(spark):
+    from eventloom.operators import validation
+
+    df = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string")
+    got = {r.check: (r.rows, r.violations, r.passed) for r in validation.violations(df, {"a": F.col("a") > 0, "b": F.col("b") == "x"}).collect()}
+    assert got == {"a": (2, 0, True), "b": (2, 1, False)}
+    names = ["AspectTheme_Current_Other_Positive_High", "AspectTheme_Fluff_Other_Positive_High", "x", "AspectTheme_Current_Growth_Negative_Low"]
+    assert validation.aspect_columns(names)["aspect"] == {"Current": [names[0], names[3]]}
+    w = column(spark, " ".join(f"w{k}" for k in range(10))).select(validation.token_windows("x", 4, 2)).first()[0]
+    assert [x[0] for x in w] == ["w0", "w2", "w4", "w6"] and w[-1][-1] == "w9"
+
+
+def test_search_prefers_the_weaker_penalty(spark):
+    rows = [(i, DAY(2020, 1, 1) + dt.timedelta(i), None, float(i * 37 % 100), float(i * 37 % 100) * 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, d date, e date, a double, y double")
+    best, means = models.search(df, [("2020-06-01", "2020-08-01"), ("2020-08-01", "2020-10-01")], "d", "e", ["a"], "y", "lasso", [{"regParam": 1e6}, {"regParam": 0.01}])
+    assert best == {"regParam": 0.01} and means[0] is None and means[1] > 0.99
