@@ -67,6 +67,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def odd_ids(docs: DataFrame) -> bool:
+    """Is a doc_id null or on more than one row?"""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").limit(1).count() > 0
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a number for each row; staged, as only then the numbers stay what they are."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Runs, _powers, blocks, byte_set, mix, neighbours, small_batches, stage, utf8
+from .common import ASCII_SPACE, Runs, _powers, blocks, byte_set, mix, neighbours, numbered, odd_ids, small_batches, stage, utf8
 from .toxicity import lower
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -324,9 +324,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, with one row of each class: that with the smallest doc_id."""
-    found = stage(classes(docs), "classes")
-    gone = found.where(~F.col("kept")).select("doc_id").where("doc_id is not null").distinct()
-    out = docs.join(sized_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """The rows of docs, all columns, with one row of each class: that with the smallest doc_id, null last.
+
+    Where a doc_id is null or repeated, rows are told apart by a number of their own.
+    """
+    if odd_ids(docs):
+        rows = numbered(docs)
+        found = classes(rows, "_row").select(F.col("doc_id").alias("_row"), "class_id")
+        first = F.min_by("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
+        best = rows.select("_row", "doc_id").join(found, "_row").groupBy("class_id").agg(first.alias("_row"))
+        return rows.join(best.select("_row"), "_row", "left_semi").select(docs.columns)
+    gone = stage(classes(docs).where(~F.col("kept")).select("doc_id"), "gone")
+    return docs.join(sized_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
