@@ -11,6 +11,8 @@
 4. Each candidate is verified: exact weighted Jaccard similarity of the two shingle vectors, THRESHOLD or more.
 5. Connected components of the verified links (large-star, small-star) give the classes. Where a bucket still holds
    more than one component, steps 3 to 5 are repeated with other pivots, TURNS turns in all.
+6. What the turns leave is ended exactly: in every bucket that still holds more than one component, all pairs of units of
+   different components are compared. So each pair that shares a band and reaches the threshold is in one class.
 
 Words are runs of bytes outside white space and . , ; : ! ? quotes and brackets, in lower case. A text of one to four words has one
 shingle of them all.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Runs, _powers, blocks, byte_set, mix, neighbours, numbered, odd_ids, small_batches, stage, utf8
+from .common import ASCII_SPACE, Runs, _powers, blocks, byte_set, mix, neighbours, numbered, odd_ids, partitions, small_batches, stage, utf8
 from .toxicity import lower
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -37,6 +39,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 4
 #: Turns of candidate search; a bucket is sorted by DEPTH bands at each of these distances.
 TURNS, DEPTH, STRIDES = 3, 5, (1, 3)
+#: In the exact end, units of a block, and units that it meets in one group of rows; buckets of up to DONE units need no
+#: such end, as the pivots of the first two turns are in each of their pairs.
+BLOCK, SLICE, DONE = 256, 4096, 3
 IDF_BUCKETS = 1 << 16
 #: Ids that may be broadcast to select texts; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
@@ -239,6 +244,87 @@ def _verify(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.R
         yield out.filter(keep)
 
 
+class Block:
+    """The vectors of some units by shingle, to compare another with all of them at once."""
+
+    def __init__(self, vectors: list[bytes], idf: np.ndarray):
+        read = [_read_vector(v, idf) for v in vectors]
+        name, weight = np.concatenate([n for n, _ in read]), np.concatenate([w for _, w in read]).astype(np.float64)
+        row = np.repeat(np.arange(len(read)), [len(n) for n, _ in read])
+        order = np.argsort(name, kind="stable")
+        self.idf, self.row, self.weight = idf, row[order], weight[order]
+        self.name, first = np.unique(name[order], return_index=True)
+        self.first = np.append(first, len(order))
+        self.total = np.bincount(row, weight, len(read))
+
+    def near(self, vector: bytes) -> list[int]:
+        """The units that may reach the threshold with the vector: all that do, and those a rounding error below it."""
+        name, weight = _read_vector(vector, self.idf)
+        at = np.minimum(np.searchsorted(self.name, name), len(self.name) - 1)
+        hit = self.name[at] == name
+        first = self.first[at[hit]]
+        n = self.first[at[hit] + 1] - first
+        place = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        least = np.bincount(self.row[place], np.minimum(self.weight[place], np.repeat(weight[hit], n)), len(self.total))
+        return np.flatnonzero(least >= (THRESHOLD - 1e-4) * (self.total + float(weight.sum()) - least)).tolist()
+
+
+def _meet(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of components, from sorted groups of rows: the units of a block (side 0), then those that they meet."""
+    now = block = None
+    own: list[tuple] = []
+    seen: set[tuple] = set()
+    for batch in batches:
+        links = []
+        for key, side, fp, root, vec in zip(*(batch.column(c).to_pylist() for c in ("key", "side", "fp", "root", "vec")), strict=True):
+            if key != now:
+                now, block, own, seen = key, None, [], set()
+            if side == 0:
+                own.append((fp, root, vec))
+                continue
+            block = block or Block([v for _, _, v in own], idf)
+            for k in block.near(vec):
+                other, other_root, other_vec = own[k]
+                link = min(root, other_root), max(root, other_root)
+                if root == other_root or link in seen:
+                    continue
+                (_, va), (_, vb) = sorted([(fp, vec), (other, other_vec)])
+                if similarity(va, vb, idf) >= THRESHOLD:
+                    seen.add(link)
+                    links.append(link)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def remaining(member: DataFrame, roots: DataFrame, vectors: DataFrame, idf) -> DataFrame | None:
+    """Links (a, b) of components, from all pairs of units of different components that share a bucket; None without such pairs.
+
+    In each mixed bucket the units outside its largest component are few; they meet all units of the bucket. Each of the few
+    belongs to one block, that of the largest bucket it is among the few of, so a vector is sent once to a block and not once
+    to a pair; large blocks, and large crowds that meet one, are dealt by hash.
+    """
+    keys = ["band", "hash"]
+    at = rooted(member.select(*keys, "fp"), "fp", roots)
+    parts = at.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+    held = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("most"))
+    mixed = stage(at.join(held.where(f"roots > 1 and n > {DONE}").drop("roots"), keys), "mixed")
+    if not mixed.limit(1).count():
+        return None
+    few = mixed.where("root != most")
+    home = few.groupBy("fp", "root").agg(F.max(F.struct("n", "band", "hash")).alias("home"))
+    size = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.struct("home.band", "home.hash", F.pmod(F.xxhash64("fp"), "blocks").alias("number"))
+    homes = stage(home.join(size, "home").select("fp", "root", block.alias("block")), "homes")
+    meets = few.select(*keys, "fp").join(homes.select("fp", "block"), "fp").select(*keys, "block").distinct()
+    met = stage(mixed.join(meets, keys).select("fp", "root", "block").distinct(), "met")
+    slices = met.groupBy("block").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")
+    here = homes.join(slices, "block").select("block", every, F.lit(0).alias("side"), "fp", "root")
+    there = met.join(slices, "block").select("block", F.pmod(F.xxhash64("fp"), "slices").alias("slice"), F.lit(1).alias("side"), "fp", "root")
+    rows = here.unionByName(there).select(F.xxhash64("block", "slice").alias("key"), "side", "fp", "root").join(vectors, "fp")
+    rows = rows.repartition(partitions(member.sparkSession), "key").sortWithinPartitions("key", "side")
+    return rows.mapInArrow(lambda b: _meet(b, idf.value), "a binary, b binary")
+
+
 def sized_broadcast(ids: DataFrame) -> DataFrame:
     """ids marked for broadcast if a count shows that they're few; else as they are."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -270,11 +356,17 @@ def linked(rows: DataFrame, units: DataFrame, idf) -> DataFrame:
             # links between components; their components, and what was under their roots before
             for c in ("a", "b"):
                 new = rooted(new, c, roots).drop(c).withColumnRenamed("root", c)
-            above = components(new)
-            moved = roots.select("node", F.col("root").alias("old"))
-            roots = stage(rooted(moved, "old", above).select("node", "root").union(above).distinct(), "roots")
+            roots = raised(roots, new)
         tested = pairs if tested is None else tested.unionByName(pairs)
-    return roots
+    new = remaining(member, roots, vectors, idf)
+    return roots if new is None else raised(roots, new)
+
+
+def raised(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after links between roots."""
+    above = components(links)
+    moved = roots.select("node", F.col("root").alias("old"))
+    return stage(rooted(moved, "old", above).select("node", "root").union(above).distinct(), "roots")
 
 
 def rooted(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:

@@ -58,6 +58,14 @@ def test_classes(spark, texts):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+def test_a_chain_in_large_buckets_is_one_class(spark):
+    """Each text reaches the threshold with the one before and the one after alone; a core that all share fills the buckets."""
+    core, tail = words(1200, 5), words(20 * 1000 + 60, 6)
+    rows = [(k, " ".join(core + tail[20 * k : 20 * k + 60])) for k in range(1000)]
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r.class_id for r in found.collect()} == {0}
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (9, "A b. c d e f"), (3, None), (3, None), (None, "q r s t u v")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
