@@ -6,8 +6,9 @@ the states (nothing yet, system, user, assistant) finds the cheapest repair; tie
 CHOICES. The repaired turns are rendered in ChatML.
 
 A conversation may be longer than a task should hold. Rows are dealt by range of (conv_id, turn), so a long one spans several
-parts; each part sums up its first and its last conversation as a 4 x 4 table of least costs (min-plus), the tables of
-all parts (two for each, no more) are composed to give the states at the bounds, and each part then traces back its own turns.
+parts; each part sums up its first and its last conversation as 4 x 4 tables: least costs (min-plus), the order of equal ways,
+repaired turns, and does the first turn merge. The tables of all parts (two for each, no more) are composed to give the states and the turn numbers at the
+bounds, and each part then traces back its own turns. The rows don't depend on where the bounds fall.
 
 Defined cases: a null or unknown role must be relabelled; a null text is empty; turns are ordered by turn (null first), role and text, so
 repeated rows stand side by side and merge; a null conv_id is a conversation of its own; an empty table gives an empty table;
@@ -75,17 +76,38 @@ def step(role: str | None) -> tuple[np.ndarray, np.ndarray]:
 END = np.array([0.0, 2 * INSERT, INSERT, 0.0])
 
 
-def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Min-plus product."""
-    return (a[:, :, None] + b[None]).min(axis=1)
+@cache
+def turns_added(role: str | None) -> np.ndarray:
+    """The repaired turns that one input turn adds, from each state to each."""
+    return np.array([[len(CHOICES[k][3]) + (not CHOICES[k][2]) for k in row] for row in step(role)[1]])
 
 
-def summary(roles: list[str | None]) -> np.ndarray:
-    out = np.full((4, 4), _INF)
-    np.fill_diagonal(out, 0)
-    for role in roles:
-        out = compose(out, step(role)[0])
-    return out
+@cache
+def merges(role: str | None) -> np.ndarray:
+    """Is the turn merged, from each state to each?"""
+    return np.array([[float(CHOICES[k][2]) for k in row] for row in step(role)[1]])
+
+
+def summary() -> np.ndarray:
+    """Of no turns: for each (first state, last state) the least cost, the rank of its way, its repaired turns, does its first turn merge.
+
+    Ways to one last state are ranked as trace() prefers them at equal costs: by the states before the last turn, the
+    last but one, and so on.
+    """
+    cost = np.full((4, 4), _INF)
+    np.fill_diagonal(cost, 0)
+    return np.stack([cost, np.repeat(np.arange(4.0)[:, None], 4, axis=1), np.zeros((4, 4)), np.full((4, 4), np.nan)])
+
+
+def extend(table: np.ndarray, role: str | None) -> np.ndarray:
+    """The summary with one more turn."""
+    ways = table[0][:, :, None] + step(role)[0][None]
+    came = ways.argmin(axis=1)
+    rank = 4 * came + np.take_along_axis(table[1], came, axis=1)
+    turns = np.take_along_axis(table[2], came, axis=1) + turns_added(role)[came, np.arange(4)]
+    first = np.take_along_axis(table[3], came, axis=1)
+    first = np.where(np.isnan(first), merges(role)[came, np.arange(4)], first)
+    return np.stack([ways.min(axis=1), rank.argsort(axis=0).argsort(axis=0), turns, first])
 
 
 def trace(roles: list[str | None], first: int, final: np.ndarray) -> tuple[list[int], int]:
@@ -127,7 +149,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, list
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last conversation of each part, summed up: (part, place, conv_id as text, table)."""
+    """The first and the last conversation of each part, summed up: (part, place, conv_id as text, tables)."""
     found: dict[int, list[tuple]] = {}
     now, table, place = None, None, 0
 
@@ -141,8 +163,8 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, conv, role in zip(*(batch.column(c).to_pylist() for c in ("_part", "conv_id", "role")), strict=True):
             if (part, conv) != now:
                 close()
-                now, table, place = (part, conv), summary([]), place + 1
-            table = compose(table, step(_known(role))[0])
+                now, table, place = (part, conv), summary(), place + 1
+            table = extend(table, _known(role))
     close()
     rows = [(part, *own) for part, both in found.items() for own in both]
     if rows:
@@ -150,8 +172,8 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "place", "conv", "table"])
 
 
-def bounds(ends: list[tuple[int, int, str | None, list[float]]]) -> dict[tuple[int, str | None], tuple[int, list[float], int]]:
-    """For each (part, conversation) that spans parts: the state it begins in, the costs of its end states, and its place in the chain.
+def bounds(ends: list[tuple[int, int, str | None, list[float]]]) -> dict[tuple[int, str | None], tuple[int, int, int, bool | None]]:
+    """For each (part, conversation) that spans parts: the states it begins and ends in, the repaired turns before, does the turn after it merge (None: it is the last).
 
     ends: sorted by part and place.
     """
@@ -159,22 +181,28 @@ def bounds(ends: list[tuple[int, int, str | None, list[float]]]) -> dict[tuple[i
 
     def close() -> None:
         if len(chain) > 1:
-            final, finals = END, []
-            for _, table in reversed(chain):
-                finals.append(final)
-                final = (table + final[None]).min(axis=1)
-            state = START
-            for k, ((part, table), final) in enumerate(zip(chain, reversed(finals), strict=True)):
-                out[part, name] = (state, final.tolist(), k)
-                state = int((table[state] + final).argmin())
+            costs = [np.array([0.0, _INF, _INF, _INF])]
+            for _, table in chain:
+                costs.append((costs[-1][:, None] + table[0]).min(axis=0))
+            states = [int((costs[-1] + END).argmin())]
+            for (_, table), cost in zip(reversed(chain), reversed(costs[:-1]), strict=True):
+                end = states[-1]
+                total = cost + table[0][:, end]
+                states.append(int(np.where(total == total.min(), table[1][:, end], _INF).argmin()))
+            states.reverse()
+            number = 0
+            for k, (part, table) in enumerate(chain):
+                after = bool(chain[k + 1][1][3][states[k + 1], states[k + 2]]) if k + 1 < len(chain) else None
+                out[part, name] = (states[k], states[k + 1], number, after)
+                number += int(table[2][states[k], states[k + 1]])
 
     name, last_part = None, None
     for part, _, conv, table in ends:
         if chain and conv == name and part != last_part:
-            chain.append((part, np.array(table).reshape(4, 4)))
+            chain.append((part, np.array(table).reshape(4, 4, 4)))
         else:
             close()
-            chain = [(part, np.array(table).reshape(4, 4))]
+            chain = [(part, np.array(table).reshape(4, 4, 4))]
         name, last_part = conv, part
     close()
     return out
@@ -187,22 +215,19 @@ def render(role: str, text: str) -> str:
 def _repair(batches: Iterator[pa.RecordBatch], known: dict, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     for part, conv, rows in _runs(batches):
-        first, final, piece_no = known.get((part, None if conv is None else str(conv)), (START, END.tolist(), None))
-        picks, end = trace([r for _, r, _ in rows], first, np.array(final))
-        last_piece = piece_no is None or np.array_equal(np.array(final), END)
-        number = 0
+        first, end, number, next_merges = known.get((part, None if conv is None else str(conv)), (START, None, 0, None))
+        final = END if end is None else np.where(np.arange(4) == end, 0.0, _INF)
+        picks, end = trace([r for _, r, _ in rows], first, final)
         for k, (pick, (turn, role, text)) in enumerate(zip(picks, rows, strict=True)):
             _, state, merged, way = CHOICES[pick]
             new = ROLES[state]
             action = ("merge" if merged else "keep") if role == new else ("merge+relabel" if merged else "relabel")
             closed = k + 1 == len(rows)
-            after = list({SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(end, ())) if closed and last_piece else []
+            after = list({SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(end, ())) if closed and next_merges is None else []
             opening = "".join(render(ROLES[x], "") for x in way)
             opens = "\n\n" if merged else f"<|im_start|>{new}\n"
-            # a turn stays open while the next row merges into it; one at the end of a part is closed by what comes next
-            shut = "" if closed and not last_piece or not closed and CHOICES[picks[k + 1]][2] else "<|im_end|>\n"
-            if k == 0 and piece_no and not merged:
-                opening = "<|im_end|>\n" + opening
+            # a turn stays open while the next row merges into it, be it in the next part
+            shut = "" if (next_merges if closed else CHOICES[picks[k + 1]][2]) else "<|im_end|>\n"
             tail = "".join(render(ROLES[x], "") for x in after)
             number += len(way) + (not merged)
             out.append((conv, turn, number, new, action, ",".join(ROLES[x] for x in [*way, *after]) or None, opening + opens + text + shut + tail))
@@ -222,8 +247,8 @@ def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 def repair(turns: DataFrame) -> DataFrame:
     """conv_id, turn, out_turn, role, action, inserted, piece: a row for each input turn.
 
-    The pieces of a conversation, in order, are its rendering. out_turn counts repaired turns within the part of the
-    conversation that one range holds; inserted names the empty turns that the piece adds.
+    The pieces of a conversation, in order, are its rendering. out_turn counts the repaired turns of the
+    conversation; inserted names the empty turns that the piece adds.
     """
     small_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")

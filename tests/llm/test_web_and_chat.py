@@ -174,3 +174,19 @@ def test_role_repair(spark, ranges):
         spent += sum(chat.role_cost(role, chat.ROLES.index(x.role)) for x, (_, role) in zip(own, sorted(given[conv], key=lambda v: v[0]), strict=True))
         assert abs(spent - cheapest([role for _, role in sorted(given[conv], key=lambda v: v[0])])) < 1e-9
     assert chat.repair(df.limit(0)).count() == 0
+
+
+def test_role_repair_does_not_depend_on_ranges(spark):
+    r = random.Random(8)
+    rows = [(conv, t, r.choice(["user", "assistant", "system", "tool", None]), f"x{t}") for conv, n in ((1, 5), (2, 3000), (3, 7)) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = []
+    try:
+        for ranges in ("1", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            got.append(sorted(chat.repair(df).collect(), key=lambda x: (x.conv_id, x.turn)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
+    numbers = [x.out_turn for x in got[1] if x.conv_id == 2]
+    assert numbers == sorted(numbers) and numbers[-1] > 1000
