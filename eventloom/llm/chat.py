@@ -11,7 +11,7 @@ repaired turns, and does the first turn merge. The tables of all parts (two for
 bounds, and each part then traces back its own turns. The rows don't depend on where the bounds fall.
 
 Defined cases: a null or unknown role must be relabelled; a null text is empty; turns are ordered by turn (null first), role and text, so
-repeated rows stand side by side and merge; a null conv_id is a conversation of its own; an empty table gives an empty table;
+repeated rows stand side by side and merge; a null conv_id is a conversation of its own; conv_id and turn keep their types; an empty table gives an empty table;
 other columns don't matter.
 """
 
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import partitions, range_parts, small_batches
 
@@ -212,7 +213,7 @@ def render(role: str, text: str) -> str:
     return f"<|im_start|>{role}\n{text}<|im_end|>\n"
 
 
-def _repair(batches: Iterator[pa.RecordBatch], known: dict, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _repair(batches: Iterator[pa.RecordBatch], known: dict, kind: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     for part, conv, rows in _runs(batches):
         first, end, number, next_merges = known.get((part, None if conv is None else str(conv)), (START, None, 0, None))
@@ -238,9 +239,9 @@ def _repair(batches: Iterator[pa.RecordBatch], known: dict, kind: pa.DataType) -
         yield _batch(out, kind)
 
 
-def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+def _batch(rows: list[tuple], kind: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    kinds = [kind, pa.int64(), pa.int64(), *[pa.string()] * 4]
+    kinds = [*kind, pa.int64(), *[pa.string()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["conv_id", "turn", "out_turn", "role", "action", "inserted", "piece"])
 
 
@@ -251,7 +252,9 @@ def repair(turns: DataFrame) -> DataFrame:
     conversation; inserted names the empty turns that the piece adds.
     """
     small_batches(turns.sparkSession)
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = turns.select("conv_id", "turn", "role", "text")
+    kinds = [rows.schema[c].dataType for c in ("conv_id", "turn")]
+    arrow = [to_arrow_type(k) for k in kinds]
     rows = rows.withColumn("_hash", F.xxhash64("role", "text"))
     order = ["conv_id", "turn", "role", "_hash"]
     dealt = range_parts(rows, order, "turns")
@@ -260,4 +263,4 @@ def repair(turns: DataFrame) -> DataFrame:
     ends = dealt.select("_part", "conv_id", "role").mapInArrow(_ends, "part int, place long, conv string, table array<double>")
     known = bounds(sorted((r.part, r.place, r.conv, r.table) for r in ends.toLocalIterator()))
     shared = turns.sparkSession.sparkContext.broadcast(known)
-    return dealt.mapInArrow(lambda b: _repair(b, shared.value, pa.int64()), f"conv_id long, turn long, {OUT}")
+    return dealt.mapInArrow(lambda b: _repair(b, shared.value, arrow), f"conv_id {kinds[0].simpleString()}, turn {kinds[1].simpleString()}, {OUT}")

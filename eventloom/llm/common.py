@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to a Python worker; texts of a few KB make it a few MB.
 BATCH_ROWS = 1000
-#: Bytes of text that the vectorised helpers handle at once.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that a block holds (one row at least), and that are hashed at once within it.
+BLOCK_BYTES, HASH_BYTES = 1 << 20, 1 << 18
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -47,14 +47,22 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see; one of our own only where the session names none."""
+    """The folder all executors and the driver see: the session's, else one in the warehouse; a temporary one in local mode alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="eventloom-")
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        path = "file://" + tempfile.mkdtemp(prefix="eventloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def remove_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged; results that were not written elsewhere are lost with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/eventloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/eventloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
@@ -72,9 +80,18 @@ def odd_ids(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").limit(1).count() > 0
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with `_row`, a number for each row; staged, as only then the numbers stay what they are."""
-    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, and the name of its column; staged, as only then the numbers stay what they are."""
+    name = free_name(docs, "_row")
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -132,6 +149,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()
 
 
 def byte_set(*members: bytes) -> np.ndarray:
@@ -189,7 +207,7 @@ class Runs:
         total = np.concatenate([[0], np.cumsum(size)])
         a = 0
         while a < len(out):
-            b = max(a + 1, int(np.searchsorted(total, total[a] + BLOCK_BYTES, side="right")) - 1)
+            b = max(a + 1, int(np.searchsorted(total, total[a] + HASH_BYTES, side="right")) - 1)
             n = size[a:b]
             begin = total[a:b] - total[a]
             place = np.arange(total[b] - total[a]) - np.repeat(begin, n)
@@ -201,5 +219,9 @@ class Runs:
 
 def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of flags between consecutive offsets."""
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, np.int64)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        # rows without elements add none, so the rows that have some follow one another
+        out[some] = np.add.reduceat(flags.view(np.uint8), offsets[some], dtype=np.int64)
+    return out

@@ -5,12 +5,14 @@ one another. So the q-grams that a document shares with an item are counted in o
 that reach the bound mark a region, and a banded alignment of item and region decides.
 
 Texts are compared in lower case with white space runs as one space; documents are the map side and aren't
-shuffled. Items are a stated query set: they're taken in blocks of at most BLOCK_CHARS characters, each block is
-broadcast on its own and runs against all documents.
+shuffled. Items are a stated query set: they're dealt by hash into blocks of about BLOCK_BYTES each, staged once, and each block
+is broadcast on its own and runs against all documents.
+
+A row is one region: of the regions of an item in a document that overlap, the one with the fewest edits, the first of those.
 
 Defined cases: null or empty texts hold nothing; an item too short for the bound to say anything (fewer than
 MIN_ITEM characters) must occur exactly, and an empty or null one never does; repeated documents and repeated
-items are each reported; an empty table on either side gives no rows.
+items are each reported, null ids too; item_id keeps its type; items may be of any length; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -22,20 +24,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, small_batches, utf8
+from .common import blocks, new_path, small_batches, utf8
 
 Q = 8
 #: Edits allowed for each byte of an item.
 EDIT_RATE = 0.08
 #: Shorter items are looked up exactly.
 MIN_ITEM = 40
-#: Bytes of items in one broadcast.
-BLOCK_CHARS = 1 << 20
+#: Bytes of items in one broadcast, about.
+BLOCK_BYTES = 1 << 20
 _BITS = 22
-SCHEMA = "item_id long, start int, end int, edits int, shared_qgrams int"
+#: Makes every diagonal positive: more than the bytes of an item.
+_SHIFT = 1 << 40
+SCHEMA = "start int, end int, edits int, shared_qgrams int"
 
 
 def normal(column: pa.Array) -> pa.Array:
@@ -63,8 +66,8 @@ def edit_budget(size: int) -> int:
 class Items:
     """A block of items and an index from q-gram to (item, place)."""
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        self.id = [i for i, _ in rows]
+    def __init__(self, rows: list[tuple[object, bytes]], kind: pa.DataType):
+        self.id, self.kind = [i for i, _ in rows], kind
         self.text = [t for _, t in rows]
         self.short = [k for k, t in enumerate(self.text) if 0 < len(t) < MIN_ITEM]
         self.budget = np.array([edit_budget(len(t)) if len(t) >= MIN_ITEM else 0 for t in self.text], np.int64)
@@ -121,7 +124,7 @@ def banded_distance(item: bytes, text: bytes, budget: int) -> tuple[int, int, in
 
 
 def find(data: bytes, items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(item, start, end, edits, shared q-grams) for each item in the text, its best region."""
+    """(item, start, end, edits, shared q-grams) of each region that holds an item."""
     raw = np.frombuffer(data, np.uint8)
     gram = qgrams(raw)
     hits = np.flatnonzero(items.maybe[items.slot(gram)])
@@ -131,8 +134,10 @@ def find(data: bytes, items: Items) -> list[tuple[int, int, int, int, int]]:
 def _regions(data: bytes, hits: np.ndarray, gram: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
     out = []
     for k in items.short:
-        if (p := data.find(items.text[k])) >= 0:
+        p = data.find(items.text[k])
+        while p >= 0:
             out.append((k, p, p + len(items.text[k]), 0, max(0, len(items.text[k]) - Q + 1)))
+            p = data.find(items.text[k], p + len(items.text[k]))
     if not len(hits) or not len(items.gram):
         return out
     where = np.minimum(np.searchsorted(items.gram, gram), len(items.gram) - 1)
@@ -142,26 +147,26 @@ def _regions(data: bytes, hits: np.ndarray, gram: np.ndarray, items: Items) -> l
     entry = np.repeat(items.first[where] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
     item = items.item[entry]
     place = items.place[entry]
-    diagonal = np.repeat(hits, n) - place + (1 << 20)
+    diagonal = np.repeat(hits, n) - place + _SHIFT
     # an item can't reach its bound with fewer shared places in all
     enough = np.bincount(item, minlength=len(items.id))[item] >= items.bound[item]
     item, place, diagonal, at = item[enough], place[enough], diagonal[enough], np.repeat(hits, n)[enough]
     if not len(item):
         return out
-    best: dict[int, tuple[int, int, int, int, int]] = {}
+    regions: list[tuple[int, int, int, int, int]] = []
     half = items.budget[item] + 1
     for shift in (0, 1):  # bands 2(e + 1) wide, at every e + 1: any e + 1 diagonals lie in one
         band = (diagonal // half + shift) // 2
         # a q-gram of the item counts once in a band, so one repeated in the text can't reach the bound
-        key = (item.astype(np.int64) << 44) | (band << 14)
-        if len(items.text) and max(map(len, items.text)) < (1 << 14):
-            once = np.unique(key | place, return_index=True)[1]
-        else:
-            once = np.arange(len(key))
-        kinds, back, count = np.unique(key[once], return_inverse=True, return_counts=True)
-        for g in np.flatnonzero(count >= items.bound[kinds >> 44]).tolist():
-            k = int(kinds[g] >> 44)
-            begin = int((diagonal[once][back == g]).min()) - (1 << 20)
+        order = np.lexsort((diagonal, place, band, item))
+        i, b, p, d = item[order], band[order], place[order], diagonal[order]
+        new_band = np.append(True, (i[1:] != i[:-1]) | (b[1:] != b[:-1]))
+        starts = np.flatnonzero(new_band)
+        count = np.add.reduceat((new_band | np.append(True, p[1:] != p[:-1])).astype(np.int64), starts)
+        least = np.minimum.reduceat(d, starts)
+        for g in np.flatnonzero(count >= items.bound[i[starts]]).tolist():
+            k = int(i[starts[g]])
+            begin = int(least[g]) - _SHIFT
             e = int(items.budget[k])
             text = items.text[k]
             exact = data.find(text, max(0, begin - e), begin + 3 * e + 2 + len(text))
@@ -173,9 +178,14 @@ def _regions(data: bytes, hits: np.ndarray, gram: np.ndarray, items: Items) -> l
                 if near is None or near[0] > e:
                     continue
                 found = (k, a + near[1], a + near[2], near[0], int(count[g]))
-            if k not in best or (found[3], found[1]) < (best[k][3], best[k][1]):
-                best[k] = found
-    return out + list(best.values())
+            regions.append(found)
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for found in sorted(set(regions), key=lambda x: (x[0], x[3], x[1], x[2], -x[4])):
+        own = ends.setdefault(found[0], [])
+        if all(found[1] >= b or found[2] <= a for a, b in own):
+            own.append((found[1], found[2]))
+            out.append(found)
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch], items: Items, keep_rows: bool = False) -> Iterator[pa.RecordBatch]:
@@ -198,30 +208,35 @@ def _scan(batches: Iterator[pa.RecordBatch], items: Items, keep_rows: bool = Fal
             ids = block.column("doc_id").take(pa.array(row, pa.int64()))
             k, start, end, edits, n = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([items.id[x] for x in k], pa.int64()), *(pa.array(x, pa.int32()) for x in (start, end, edits, n))],
+                [ids, pa.array([items.id[x] for x in k], items.kind), *(pa.array(x, pa.int32()) for x in (start, end, edits, n))],
                 ["doc_id", "item_id", "start", "end", "edits", "shared_qgrams"],
             )
 
 
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
-    """The items in blocks of at most BLOCK_CHARS characters; one block is on the driver at a time."""
-    size = F.length(text_col) + 64
-    order = W.orderBy(item_col, text_col).rowsBetween(W.unboundedPreceding, 0)
-    numbered = benchmark.where(F.length(F.trim(text_col)) > 0).select(
-        F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"), F.floor(F.sum(size).over(order) / BLOCK_CHARS).alias("block")
-    )
-    for (k,) in numbered.select("block").distinct().orderBy("block").toLocalIterator():
-        rows = numbered.where(F.col("block") == k).toArrow()
-        text = normal(rows.column("text").combine_chunks()).to_pylist()
-        yield Items(list(zip(rows.column("item_id").to_pylist(), [t.strip().encode() for t in text], strict=True)))
+    """The items in blocks of about BLOCK_BYTES; one block is on the driver at a time."""
+    spark = benchmark.sparkSession
+    rows = benchmark.where(F.length(F.trim(text_col)) > 0).select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = -(-total // BLOCK_BYTES)
+    path = new_path(spark, "items")
+    rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n or 1))).repartition("block").write.partitionBy("block").parquet(path)
+    staged = spark.read.schema(f"item_id {rows.schema['item_id'].dataType.simpleString()}, text string, block long").parquet(path)
+    for k in range(n):
+        got = staged.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").toArrow()
+        if got.num_rows:
+            text = normal(got.column("text").combine_chunks()).to_pylist()
+            kind = got.schema.field("item_id").type
+            yield Items(list(zip(got.column("item_id").to_pylist(), [t.strip().encode() for t in text], strict=True)), kind)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document and item found in it: doc_id, item_id, start, end (bytes of the normal text), edits."""
+    """A row for each region of a document that holds an item: doc_id, item_id, start, end (bytes of the normal text), edits."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
+    kinds = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, {SCHEMA}"
     found = []
     for items in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(items)

@@ -1,17 +1,19 @@
-"""Main text of web pages: structure first, then differencing against the nearest page of the same host.
-
-A page is cut into lines (blocks of text). Lines in menus, headers, footers, sidebars, forms, scripts, adverts, notices or comments, by
-element, role or class, go. Lines of an <article> or <main> are the text. A page without such an element keeps the
-lines that it doesn't share with its nearest page: pages are ordered by (host, path), the neighbour with the longer common path prefix
-is the partner (the one before on a tie), and the lines of the longest common subsequence of both are deleted.
-
-Differencing alone can't give the right text: it leaves menus that change from page to page, and deletes what articles
-share; hence lines inside an article are never deleted by it. Pages are paired by a global order in ranges: no host is
-gathered in one task, and only 64-bit line hashes are shuffled, texts for pages without an article alone.
-
-Defined cases: null html has no text; a null url is of the empty host; a page alone on its host has no partner and keeps its lines;
-repeated rows are partners like others (a page without article then has no text of its own); broken markup is read to the end; an
-empty table gives an empty table; other columns don't matter.
+"""Main text of web pages: differencing against the nearest page of the same host, and the page's structure where that can't decide.
+
+1. A page is parsed once into lines (blocks of text), menus and footers included, and staged with a 64-bit hash of each line.
+2. Pages of a host with the same outline (the same lines) count as one page, at the smallest of their urls; then the pages of a url count as one.
+   What is left is ordered by (host, path, url); the neighbour with the longer common path prefix is the partner (the one before on a tie).
+   So a copy of a page, or another version of its url, is never its partner.
+3. The lines of the longest common subsequence of a page and its partner are deleted, but for those that an <article> or <main> owns.
+4. Structure decides on the lines that no partner shares: those in menus, headers, footers, sidebars, forms, adverts, notices or comments, by
+   element, role or class, go; so does what stands outside of the <article> or <main> of a page that has one.
+
+Differencing alone can't give the right text: it leaves menus and adverts that change from page to page, and deletes what articles
+share; n_shared and n_structure say how many lines each rule removed. Pages are paired by a global order in ranges: no host is
+gathered in one task, only line hashes are shuffled to pair them, and lines once to meet what their outline shares.
+
+Defined cases: null html has no text; a null url is of the empty host; a page without another url and outline on its host has no partner and
+keeps its lines; repeated rows have equal texts; broken markup is read to the end; an empty table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, blocks, byte_set, neighbours, small_batches, utf8
+from .common import Runs, blocks, byte_set, neighbours, small_batches, stage, utf8
 from .urlgraph import host_of, path_of
 
 #: Elements whose content is never text; elements that are page furniture; elements that end a block.
@@ -45,6 +47,7 @@ MARKS = frozenset(
     "recommended comment comments disqus pagination pager complementary contentinfo search".split()
 )
 OUTER_MARKS = frozenset("header masthead banner alert".split())
+FURNISHED, OUTSIDE, OWNED = range(3)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _MARKED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
@@ -62,10 +65,9 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[str], list[str]]:
-    """(lines inside an article or main element, other lines that aren't furniture), in page order."""
-    article: list[str] = []
-    other: list[str] = []
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """The lines of a page in order, each with FURNISHED, OUTSIDE or OWNED (by an article or main element)."""
+    lines: list[tuple[str, int]] = []
     text: list[str] = []
     lower = None
     inside = 0
@@ -76,15 +78,14 @@ def lines_of(page: str) -> tuple[list[str], list[str]]:
             line = " ".join("".join(text).split())
             text.clear()
             if line:
-                (article if inside else other).append(line)
+                lines.append((line, FURNISHED if skip else OWNED if inside else OUTSIDE))
 
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
-        if not skip:
-            piece = page[at : m.start() if m else end]
-            if piece:
-                text.append(entities.unescape(piece) if "&" in piece else piece)
+        piece = page[at : m.start() if m else end]
+        if piece:
+            text.append(entities.unescape(piece) if "&" in piece else piece)
         if not m:
             break
         at = m.end()
@@ -93,24 +94,20 @@ def lines_of(page: str) -> tuple[list[str], list[str]]:
             continue
         closing = bool(m[1] or m[4])
         attributes = m[3] or m[6] or ""
-        if skip:
-            if name == skip:
-                depth += -1 if closing else not attributes.endswith("/")
-                if not depth:
-                    skip = ""
-            elif name in RAW and not closing and name != "head":
-                at = _raw_end(lower := lower or page.lower(), name, at)
-            continue
         if name in BLOCKS:
             flush()
-        if closing:
-            if name in ("article", "main") and inside:
+        if skip and name == skip:
+            depth += -1 if closing else not attributes.endswith("/")
+            if not depth:
+                flush()
+                skip = ""
+        elif closing:
+            if name in ("article", "main") and inside and not skip:
                 inside -= 1
-            continue
-        if name in RAW:
+        elif name in RAW and not (skip and name == "head"):
             if not attributes.endswith("/"):
                 at = _raw_end(lower := lower or page.lower(), name, at)
-        elif name in VOID or attributes.endswith("/"):
+        elif skip or name in VOID or attributes.endswith("/"):
             continue
         elif name in ("article", "main"):
             inside += 1
@@ -121,7 +118,7 @@ def lines_of(page: str) -> tuple[list[str], list[str]]:
             if name == "footer" or lower.find(f"</{name}", at) >= 0:
                 skip, depth = name, 1
     flush()
-    return article, other
+    return lines
 
 
 def _raw_end(lower: str, name: str, at: int) -> int:
@@ -140,15 +137,6 @@ def _strings(block: pa.RecordBatch, column: str) -> Iterator[str]:
         yield block.column(column)[k].as_py() or ""
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text of the pages that have an article or main element; the others are left out."""
-    for block in blocks(batches, "_html"):
-        found = [lines_of(page) for page in _strings(block, "_html")]
-        text = [" ".join(a) if a else None for a, _ in found]
-        out = pa.RecordBatch.from_arrays([block.column("page_id"), block.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
-        yield out.filter(pa.array([t is not None for t in text], pa.bool_()))
-
-
 def _hash(lines: list[list[str]]) -> list[list[int]]:
     flat = [x for own in lines for x in own]
     if not flat:
@@ -162,14 +150,15 @@ def _hash(lines: list[list[str]]) -> list[list[int]]:
     return out
 
 
-def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line hashes of every page, and the lines themselves of those without an article."""
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of every page, their kinds and hashes."""
     for block in blocks(batches, "_html"):
         found = [lines_of(page) for page in _strings(block, "_html")]
+        lines = [[x for x, _ in own] for own in found]
         keep = ["page_id", "url", "host", "path"]
         columns = [block.column(c) for c in keep]
-        columns += [pa.array([o if not a else None for a, o in found], pa.list_(pa.string())), pa.array(_hash([a + o for a, o in found]), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, [*keep, "lines", "hashes"])
+        columns += [pa.array(lines, pa.list_(pa.string())), pa.array([[k for _, k in own] for own in found], pa.list_(pa.int8()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(_hash(lines), pa.list_(pa.int64()))], [*keep, "lines", "kinds", "hashes"])
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -212,30 +201,65 @@ def _prefix(a: str, b: str) -> int:
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Delete what a page shares with its partner: (page_id, url, text) of pages without an article."""
+    """(host, outline, shared): the places of the lines that an outline shares with its partner."""
     for batch in batches:
-        text = []
-        for at in batch.to_pylist():
+        shared = []
+        for at in batch.select(["path", "hashes", "before", "after", "host"]).to_pylist():
             near = [x for x in (at["before"], at["after"]) if x and x["host"] == at["host"]]
-            shared: set[int] = set()
-            if near:
-                partner = max(near, key=lambda x: _prefix(x["path"], at["path"]))
-                shared = set(common_lines(at["hashes"], partner["hashes"]))
-            text.append(" ".join(x for k, x in enumerate(at["lines"]) if k not in shared))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
+            partner = max(near, key=lambda x: _prefix(x["path"], at["path"])) if near else None
+            shared.append(common_lines(at["hashes"], partner["hashes"]) if partner else [])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("outline"), pa.array(shared, pa.list_(pa.int32()))], ["host", "outline", "shared"])
+
+
+def kept_lines(lines: list[str], kinds: list[int], shared: set[int]) -> tuple[str, int, int]:
+    """(text, lines removed because they're shared, lines removed by structure)."""
+    owned = OWNED in kinds
+    text, by_partner, by_structure = [], 0, 0
+    for k, (line, kind) in enumerate(zip(lines, kinds, strict=True)):
+        if kind == OWNED:
+            text.append(line)
+        elif k in shared:
+            by_partner += 1
+        elif kind == FURNISHED or owned:
+            by_structure += 1
+        else:
+            text.append(line)
+    return " ".join(text), by_partner, by_structure
+
+
+def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("lines", "kinds", "shared"))
+        found = [kept_lines(lines, kinds, set(shared or ())) for lines, kinds, shared in zip(*columns, strict=True)]
+        text, *removed = zip(*found, strict=True) if found else ((), (), ())
+        out = [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), *(pa.array(x, pa.int32()) for x in removed)]
+        yield pa.RecordBatch.from_arrays(out, ["page_id", "url", "text", "n_shared", "n_structure"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, path, lines, kinds, hashes, outline for each row of pages; staged."""
     small_batches(pages.sparkSession)
-    kind = pages.schema["page_id"].dataType.simpleString()
     raw = pages.select("page_id", "url", pages["html"].alias("_html"))
-    schema = f"page_id {kind}, url string, text string"
-    structured = raw.mapInArrow(_extract, schema)
     placed = raw.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    outline = placed.mapInArrow(_outline, f"page_id {kind}, url string, host string, path string, lines array<string>, hashes array<long>")
-    outline = outline.withColumn("_name", F.xxhash64("url", "hashes"))
-    paired = neighbours(outline, ["host", "path", "page_id", "_name"], ["host", "path", "hashes"])
-    open_pages = paired.where("lines is not null").select("page_id", "url", "host", "path", "lines", "hashes", "before", "after")
-    differenced = open_pages.mapInArrow(_difference, schema)
-    return structured.unionByName(differenced).withColumn("n_chars", F.length("text").cast("long"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, host string, path string, lines array<string>, kinds array<tinyint>, hashes array<bigint>"
+    return stage(placed.mapInArrow(_parse, schema).withColumn("outline", F.xxhash64("hashes", "kinds")), "lines")
+
+
+def shared_lines(lines: DataFrame) -> DataFrame:
+    """(host, outline, shared) of each outline of each host."""
+    outlines = lines.groupBy("host", "outline").agg(F.min(F.struct("path", "url")).alias("at"), F.first("hashes").alias("hashes"))
+    outlines = stage(outlines, "outlines")
+    urls = outlines.groupBy("host", "at").agg(F.min_by("hashes", "outline").alias("hashes")).withColumn("path", F.col("at.path"))
+    paired = neighbours(urls, ["host", "at"], ["host", "path", "hashes"]).select("host", "at", "before", "after")
+    rows = outlines.join(paired, ["host", "at"]).select("host", "outline", F.col("at.path").alias("path"), "hashes", "before", "after")
+    return rows.mapInArrow(_difference, "host string, outline long, shared array<int>")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars, n_shared, n_structure for each row of pages."""
+    lines = parsed(pages)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    rows = lines.select("page_id", "url", "host", "outline", "lines", "kinds").join(shared_lines(lines), ["host", "outline"], "left")
+    out = rows.mapInArrow(_keep, f"page_id {kind}, url string, text string, n_shared int, n_structure int")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_structure")

@@ -1,12 +1,12 @@
 """Mix sources to target weights, cut at the exact budget.
 
-Each row gets a hash-random key; rows are dealt by range of (source, key) and sorted, prefix sums of their sizes run
-within a part and are carried over parts by one small sum for each source and part. A source whose target exceeds its
+Each row gets a hash-random key of its doc_id and text; sizes and keys are staged without the texts, dealt by range of (source, key)
+and sorted, prefix sums of their sizes run within a part and are carried over parts by one small sum for each source and part. A source whose target exceeds its
 size repeats whole epochs; the rest of the budget is cut in the order of the keys, the last document in part.
 
 Defined cases: a null source is a source of its own, ordered last; null or empty texts have size 0 and take 0; repeated
-rows are taken on their own, ties of a key in the order of doc_id (equal rows share nothing else to order them
-by, and either order gives the same rows); a source without words has target 0; an empty table gives an empty table.
+rows are taken on their own (only rows of equal doc_id and text tie, and either order of those gives the same rows); a null doc_id
+takes its key from the text; a source without words has target 0; an empty table gives an empty table.
 Sources are few (one row each is ordered on one task); rows of a source may be a third of all, as ranges split them.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import range_parts
+from .common import range_parts, stage
 
 #: Weights of the sources by code point, repeating; share of all sizes to take; epochs of a source at most.
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
@@ -53,9 +53,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MAX_EPOCHS) ->
 def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) for each row; keep: columns of docs to add."""
     extra = [docs[c].alias(f"_keep_{i}") for i, c in enumerate(keep or [])]
-    rows = docs.select("doc_id", "source", word_count("text").alias("size"), *extra)
-    rows = rows.withColumn("_key", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(SEED))))
-    order = [F.col("source").asc_nulls_last(), F.col("_key"), F.col("doc_id")]
+    key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(SEED), F.md5(F.coalesce("text", F.lit("")))))
+    rows = stage(docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("_key"), *extra), "sizes")
+    order = [F.col("source").asc_nulls_last(), F.col("_key"), F.col("doc_id"), F.col("size")]
     dealt = range_parts(rows, order, "mix")
     by = targets(dealt).withColumnRenamed("source", "_source")
     parts = dealt.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     parts = parts.join(by, parts["source"].eqNullSafe(by["_source"])).select(
         F.col("source").alias("_source"), F.col("_part").alias("_p"), "_before", "source_size", "target"
     )
-    inner = W.partitionBy("source", "_part").orderBy("_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "_part").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     dealt = dealt.withColumn("_own", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     joined = dealt.join(parts, (dealt["_part"] == parts["_p"]) & dealt["source"].eqNullSafe(parts["_source"]))
     budget = F.floor("target")
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5(concat_ws(':', doc_id::VARCHAR, '{SEED}')) AS k FROM documents),
+         md5(concat_ws(':', doc_id::VARCHAR, '{SEED}', md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
              source_size::DOUBLE * 2 AS most FROM s),
@@ -91,7 +91,7 @@ l AS (SELECT *, (budget - before) / w_left AS lvl FROM r),
 t AS (SELECT source, source_size, least(most, coalesce((SELECT arg_min(lvl, before) FROM l WHERE lvl * w <= most) * w, most)) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT // t.source_size ELSE 0 END AS epochs,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken FROM p

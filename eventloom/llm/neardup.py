@@ -17,8 +17,11 @@
 Words are runs of bytes outside white space and . , ; : ! ? quotes and brackets, in lower case. A text of one to four words has one
 shingle of them all.
 
-Defined cases: null texts and texts without words are alone in their class; a null doc_id takes the class of its copies, and
-null if it has none; repeated rows share a class; the class id is the smallest doc_id of the class; an empty table gives an
+Where one side of a join is an aggregate of the other, it is staged first: Spark then sees two plain shuffles and splits a key that holds
+much of the rows (a pivot, a large bucket, a star).
+
+Defined cases: null texts and texts without words are alone in their class; a null doc_id takes the class of its copies and near copies, and
+null if none has an id; repeated rows share a class; the class id is the smallest doc_id of the class; an empty table gives an
 empty table; other columns don't matter.
 """
 
@@ -155,22 +158,22 @@ def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.Rec
         bands = np.zeros((block.num_rows, BANDS), np.uint64)
         if some.any():
             bands[some] = band_hashes(element, weight, cut, pool)
-        columns = [block.column("doc_id"), pa.array(fingerprints(words, h), pa.binary()), pa.array((total[cut[1:]] - total[cut[:-1]]).astype(np.float32))]
+        columns = [block.column("doc_id"), block.column("key"), pa.array(fingerprints(words, h), pa.binary()), pa.array((total[cut[1:]] - total[cut[:-1]]).astype(np.float32))]
         columns += [pa.array(bands[:, k].view(np.int64)) for k in range(BANDS)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "total", *(f"b{k}" for k in range(BANDS))])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "total", *(f"b{k}" for k in range(BANDS))])
 
 
 def signatures(rows: DataFrame, idf) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     bands = ", ".join(f"b{k} long" for k in range(BANDS))
-    return rows.mapInArrow(lambda b: _sign(b, idf.value), f"doc_id {kind}, fp binary, total float, {bands}")
+    return rows.mapInArrow(lambda b: _sign(b, idf.value), f"doc_id {kind}, key long, fp binary, total float, {bands}")
 
 
 def members(units: DataFrame) -> DataFrame:
     """(band, hash, then, fp, total) of units that share a bucket with another; then is the next band's hash."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"b{k}").alias("hash"), F.col(f"b{(k + 1) % BANDS}").alias("then")) for k in range(BANDS)]))
     member = units.select("fp", "total", each.alias("at")).select("fp", "total", "at.*")
-    shared = member.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = stage(member.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     return member.join(shared, ["band", "hash"])
 
 
@@ -199,8 +202,8 @@ def candidates(member: DataFrame, units: DataFrame, turn: int) -> DataFrame:
     pairs = None
     for keys in (["band", "hash"], ["band", "hash", "then"]):
         pivots = [F.min(one), F.max(one)] if turn else [F.min(one)]
-        pivot = member.groupBy(*keys).agg(F.array(*pivots).alias("pivots"), F.count("*").alias("n"))
-        both = member.join(pivot.where("n > 1").drop("n"), keys).select("fp", "total", "root", F.explode("pivots").alias("pivot"))
+        pivot = member.groupBy(*keys).agg(F.array(*pivots).alias("pivots"), (F.min("root") != F.max("root")).alias("mixed"))
+        both = member.join(stage(pivot.where("mixed").drop("mixed"), "pivots"), keys).select("fp", "total", "root", F.explode("pivots").alias("pivot"))
         both = both.where(F.col("root") != F.col("pivot.root"))
         found = both.select("fp", "total", F.col("pivot.fp").alias("other"), F.col("pivot.total").alias("other_total"))
         pairs = found if pairs is None else pairs.unionByName(found)
@@ -210,20 +213,49 @@ def candidates(member: DataFrame, units: DataFrame, turn: int) -> DataFrame:
     return pairs.where(near).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
 
 
+def write_vector(element: np.ndarray, times: np.ndarray) -> bytes:
+    """Elements in 6 bytes each; their counts where these aren't 1."""
+    more = np.flatnonzero(times != 1)
+    parts = (np.array([len(element), len(more)], np.uint32), (element >> np.uint64(12)).astype(np.uint32), more.astype(np.uint32), times[more].astype(np.uint32))
+    return b"".join(x.tobytes() for x in parts) + (element & np.uint64(0xFFF)).astype(np.uint16).tobytes()
+
+
+def _read_vector(raw: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, weights)"""
+    n, m = np.frombuffer(raw, np.uint32, 2).tolist()
+    high, more, times = (np.frombuffer(raw, np.uint32, k, at) for k, at in ((n, 8), (m, 8 + 4 * n), (m, 8 + 4 * (n + m))))
+    low = np.frombuffer(raw, np.uint16, n, 8 + 4 * (n + 2 * m))
+    weight = idf[high >> np.uint32(16)]
+    weight[more] *= times
+    return (high.astype(np.uint64) << np.uint64(12)) | low, weight
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, vec), once for each fingerprint that a task meets; fp is that of the row's key, which another text may have by chance."""
+    seen: set[bytes] = set()
     for block in blocks(batches, "_text"):
+        fresh = [fp not in seen for fp in block.column("fp").to_pylist()]
+        if not any(fresh):
+            continue
+        block = block.filter(pa.array(fresh, pa.bool_()))
         element, times, cut, words, h = shingles(*utf8(lower(block.column("_text"))))
-        name, times = (element >> np.uint64(12)).astype(np.uint32), np.minimum(times, 65535).astype(np.uint16)
-        own = fingerprints(words, h)
-        keep = [k for k, fp in enumerate(block.column("fp").to_pylist()) if own[k] == fp]
-        vec = [name[cut[k] : cut[k + 1]].tobytes() + times[cut[k] : cut[k + 1]].tobytes() for k in keep]
+        own, keep = fingerprints(words, h), []
+        for k, fp in enumerate(block.column("fp").to_pylist()):
+            if own[k] == fp and fp not in seen:
+                seen.add(fp)
+                keep.append(k)
+        vec = [write_vector(element[cut[k] : cut[k + 1]], times[cut[k] : cut[k + 1]]) for k in keep]
         yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in keep], pa.binary()), pa.array(vec, pa.binary())], ["fp", "vec"])
 
 
-def _read_vector(raw: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(raw) // 6
-    name = np.frombuffer(raw, np.uint32, n)
-    return name, np.frombuffer(raw, np.uint16, n, 4 * n) * idf[name >> 16]
+def vectors_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, vec) of the wanted (key, fp), once each; staged."""
+    found = rows.join(sized_broadcast(wanted), "key").select("fp", "_text").mapInArrow(_vectors, "fp binary, vec binary")
+    found = stage(found, "vectors")
+    # rows that are wholly repeated have one key and may lie in several tasks
+    if found.count() > wanted.select("fp").distinct().count():
+        found = stage(found.dropDuplicates(["fp"]), "vectors")
+    return found
 
 
 def similarity(a: bytes, b: bytes, idf: np.ndarray) -> float:
@@ -306,7 +338,7 @@ def remaining(member: DataFrame, roots: DataFrame, vectors: DataFrame, idf) -> D
     at = rooted(member.select(*keys, "fp"), "fp", roots)
     parts = at.groupBy(*keys, "root").agg(F.count("*").alias("n"))
     held = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("most"))
-    mixed = stage(at.join(held.where(f"roots > 1 and n > {DONE}").drop("roots"), keys), "mixed")
+    mixed = stage(at.join(stage(held.where(f"roots > 1 and n > {DONE}").drop("roots"), "held"), keys), "mixed")
     if not mixed.limit(1).count():
         return None
     few = mixed.where("root != most")
@@ -316,7 +348,7 @@ def remaining(member: DataFrame, roots: DataFrame, vectors: DataFrame, idf) -> D
     homes = stage(home.join(size, "home").select("fp", "root", block.alias("block")), "homes")
     meets = few.select(*keys, "fp").join(homes.select("fp", "block"), "fp").select(*keys, "block").distinct()
     met = stage(mixed.join(meets, keys).select("fp", "root", "block").distinct(), "met")
-    slices = met.groupBy("block").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    slices = stage(met.groupBy("block").agg(F.ceil(F.count("*") / SLICE).alias("slices")), "slices")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")
     here = homes.join(slices, "block").select("block", every, F.lit(0).alias("side"), "fp", "root")
     there = met.join(slices, "block").select("block", F.pmod(F.xxhash64("fp"), "slices").alias("slice"), F.lit(1).alias("side"), "fp", "root")
@@ -340,8 +372,8 @@ def verified(pairs: DataFrame, vectors: DataFrame, idf) -> DataFrame:
 def linked(rows: DataFrame, units: DataFrame, idf) -> DataFrame:
     """(node, root) of the units that have a verified link."""
     member = stage(members(units), "members")
-    wanted = stage(units.join(member.select("fp").distinct(), "fp").select(F.col("rep").alias("doc_id"), "fp"), "wanted")
-    vectors = stage(rows.join(sized_broadcast(wanted), "doc_id").select("fp", "_text").mapInArrow(_vectors, "fp binary, vec binary"), "vectors")
+    wanted = stage(units.join(member.select("fp").distinct(), "fp").select("key", "fp"), "wanted")
+    vectors = vectors_of(rows, wanted)
     roots = tested = None
     for turn in range(TURNS):
         at = member.withColumn("root", F.col("fp")) if roots is None else rooted(member, "fp", roots)
@@ -384,10 +416,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large-star: each node's larger neighbours go to the smallest of its neighbourhood
         both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).union(edges.select("high", "low"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("low"), F.col("v").alias("high"))
         # small-star: each node's smaller neighbours and itself go to the smallest of them
-        least = large.groupBy("high").agg(F.min("low").alias("m"))
+        large = stage(large.distinct(), "large")
+        least = stage(large.groupBy("high").agg(F.min("low").alias("m")), "least")
         small = large.join(least, "high")
         small = small.where("low != m").select(F.col("m").alias("low"), F.col("low").alias("high")).union(small.select("m", "high")).distinct()
         edges = stage(small, "stars")
@@ -402,14 +435,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, class_id, kept (the one of its class that stays) for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"))
+    key = F.xxhash64(docs[id_col], docs[text_col])
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"), key.alias("key"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(rows))
     signed = stage(signatures(rows, idf), "signatures")
-    units = stage(signed.where("fp is not null").groupBy("fp", "total", *(f"b{k}" for k in range(BANDS))).agg(F.min("doc_id").alias("rep")), "units")
+    same = signed.where("fp is not null").groupBy("fp", "total", *(f"b{k}" for k in range(BANDS)))
+    units = stage(same.agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "units")
     roots = linked(rows, units, idf)
     named = units.select("fp", "rep").join(roots, units["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "named")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    smallest = stage(named.groupBy("root").agg(F.min("rep").alias("class_id")), "smallest")
     by_fp = named.join(smallest, "root").select("fp", "class_id")
     out = signed.select("doc_id", "fp").join(by_fp, "fp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)) | (F.col("doc_id").isNull() & F.col("class_id").isNull()))
@@ -421,10 +456,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Where a doc_id is null or repeated, rows are told apart by a number of their own.
     """
     if odd_ids(docs):
-        rows = numbered(docs)
-        found = classes(rows, "_row").select(F.col("doc_id").alias("_row"), "class_id")
-        first = F.min_by("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
-        best = rows.select("_row", "doc_id").join(found, "_row").groupBy("class_id").agg(first.alias("_row"))
-        return rows.join(best.select("_row"), "_row", "left_semi").select(docs.columns)
+        rows, row = numbered(docs)
+        found = classes(rows, row).select(F.col("doc_id").alias(row), "class_id")
+        first = F.min_by(row, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row))
+        best = rows.select(row, "doc_id").join(found, row).groupBy("class_id").agg(first.alias(row))
+        return rows.join(best.select(row), row, "left_semi").select(docs.columns)
     gone = stage(classes(docs).where(~F.col("kept")).select("doc_id"), "gone")
     return docs.join(sized_broadcast(gone), "doc_id", "left_anti").select(docs.columns)

@@ -5,8 +5,8 @@ the next space); the count of the text is the sum over its pre-tokens. A compact
 pre-tokens is broadcast; what it lacks is encoded once for each distinct pre-token by the worker, which keeps a
 bounded cache. No pre-token is shuffled.
 
-The table is only a cache. It is filled from a bounded sample (TABLE_ROWS texts, TABLE_SIZE entries); the result
-doesn't depend on it.
+The table is only a cache. It is filled from a bounded sample (TABLE_CHARS characters of TABLE_ROWS texts, TABLE_SIZE entries), read from as few
+partitions as hold it; the result doesn't depend on it. A worker's cache lives as long as the worker, over its tasks.
 
 Defined cases: a null or empty text has no tokens; texts with a mark that the model uses for a space count that mark
 as a space, as the model does; repeated rows are counted alike; an empty table gives an empty table.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Runs, blocks, byte_set, mix, small_batches, utf8
 
 #: Bounds of the broadcast table and of the sample that fills it.
-TABLE_ROWS, TABLE_SIZE = 2000, 1 << 16
+TABLE_ROWS, TABLE_CHARS, TABLE_SIZE = 2000, 5000, 1 << 16
 #: Distinct pre-tokens that a worker remembers.
 CACHE_SIZE = 200_000
 _SLOTS = 1 << 18
@@ -41,6 +41,12 @@ def _encoder(model: str):
     return sentencepiece.SentencePieceProcessor(model_file=model)
 
 
+@cache
+def _known(model: str) -> dict[bytes, int]:
+    """The worker's cache for a model."""
+    return {}
+
+
 class LengthTable:
     """Open-addressed table from the 64-bit hash of a pre-token to its number of tokens (1 to 255)."""
 
@@ -138,9 +144,11 @@ def count_block(block: pa.RecordBatch, sp, table: LengthTable, known: dict[bytes
 
 def frequent(docs: DataFrame, model: str, text_col: str) -> LengthTable:
     """The table, from at most TABLE_ROWS texts of the first files; encoded on the driver, TABLE_SIZE entries at most."""
-    sample = docs.select(F.substring(F.col(text_col), 1, 5000).alias("_text")).limit(TABLE_ROWS).toArrow()
+    # take() reads one partition, and more only while rows are missing
+    rows = docs.select(F.substring(F.col(text_col), 1, TABLE_CHARS).alias("_text")).take(TABLE_ROWS)
+    sample = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string())], ["_text"])
     sp, seen, where = _encoder(model), Counter(), {}
-    for block in blocks(iter(sample.combine_chunks().to_batches()), "_text"):
+    for block in blocks(iter([sample]), "_text"):
         data, at = _normal(block)
         words, before, _ = _spans(data, at)
         key, raw = _keys(words, before), data.tobytes()
@@ -158,7 +166,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, model, text_col))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, known = _encoder(model), {}
+        sp, known = _encoder(model), _known(model)
         for block in blocks(batches, "_text"):
             _, at = utf8(block.column("_text"))
             n = count_block(block, sp, shared.value, known)

@@ -5,12 +5,14 @@ per-coordinate FTRL-proximal with L1, so few weights differ from zero; those are
 map side.
 
 Bounds (parameters): the model is fitted on at most TRAIN_ROWS labelled rows, those with the smallest hash of
-doc_id, in one task; at most MAX_WEIGHTS weights are broadcast. Everything else covers all rows. Rows held out (crc32 of doc_id
+doc_id, in one task. All weights that aren't zero are broadcast: L1 leaves few, and there are never more than
+features in those rows or hash values. Everything else covers all rows. Rows held out (crc32 of doc_id
 modulo 5 is 0) are never trained on; labels, lang, source and doc_id are no features.
 
 Defined cases: a null or empty text scores by the bias alone; without labels every score is that of the prior; a label row with
-a null id or label is ignored, repeated ones count as their maximum; repeated documents score alike; an empty
-table gives an empty table; other columns don't matter.
+a null id or label is ignored, repeated ones count as their maximum; repeated documents score alike, and where documents of one
+doc_id meet the bound of the sample, those with the smallest hash of their text are in it; an empty table gives an empty table; other
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,25 +27,28 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, Runs, blocks, byte_set, mix, small_batches, utf8
 
 HASH_BITS = 24
-TRAIN_ROWS, EPOCHS, MAX_WEIGHTS = 16_000, 3, 1 << 17
+TRAIN_ROWS, EPOCHS = 16_000, 3
 ALPHA, BETA, L1, L2, PRIOR = 1.0, 1.0, 2.0, 0.1, -2.0
 FOLDS = 5
 _SEP = byte_set(ASCII_SPACE, b"""!"'()*+,-./:;<=>?@[\\]^_`{|}~#$%&""")
 
 
-def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, offsets): the sorted distinct features of each row of a block."""
+def occurrences(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, feature) of all words, then of all pairs, then of all pairs over a word."""
     words = Runs(data, at, _SEP)
     h, row = words.hashes(), words.row
-    found, owner = [mix(h + np.uint64(1))], [row]
+    top = np.uint64(64 - HASH_BITS)
+    yield row, (mix(h + np.uint64(1)) >> top).astype(np.int32)
     for gap, salt in ((1, 2), (2, 3)):
         inside = np.flatnonzero(row[gap:] == row[:-gap])
-        found.append(mix(mix(h[inside]) + h[inside + gap] + np.uint64(salt)))
-        owner.append(row[inside])
-    key = (np.concatenate(owner).astype(np.uint64) << np.uint64(HASH_BITS)) | (np.concatenate(found) >> np.uint64(64 - HASH_BITS))
-    key = np.unique(key)
-    cut = np.searchsorted(key, np.arange(len(at), dtype=np.uint64) << np.uint64(HASH_BITS))
-    return (key & np.uint64((1 << HASH_BITS) - 1)).astype(np.int32), cut
+        yield row[inside], (mix(mix(h[inside]) + h[inside + gap] + np.uint64(salt)) >> top).astype(np.int32)
+
+
+def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, offsets): the sorted distinct features of each row of a block."""
+    key = np.unique(np.concatenate([(row << HASH_BITS) | found for row, found in occurrences(data, at)]))
+    cut = np.searchsorted(key, np.arange(len(at)) << HASH_BITS)
+    return (key & ((1 << HASH_BITS) - 1)).astype(np.int32), cut
 
 
 def lower(column: pa.Array) -> pa.Array:
@@ -56,7 +61,8 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "_text"):
         found, cut = features(*utf8(lower(block.column("_text"))))
         lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(found, pa.int32()))
-        yield pa.RecordBatch.from_arrays([block.column("_order"), block.column("_toxic"), lists], ["_order", "toxic", "features"])
+        columns = [*(block.column(c) for c in ("_order", "_tie", "_toxic")), lists]
+        yield pa.RecordBatch.from_arrays(columns, ["_order", "_tie", "toxic", "features"])
 
 
 class Ftrl:
@@ -87,21 +93,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndar
         for at, y in zip(rows, labels.tolist(), strict=True):
             model.learn(at, y)
     used = np.flatnonzero(np.abs(model.z) > L1)
-    w = model.weights(used)
-    if len(used) > MAX_WEIGHTS:
-        top = np.sort(np.argpartition(-np.abs(w), MAX_WEIGHTS)[:MAX_WEIGHTS])
-        used, w = used[top], w[top]
-    return used, w, model.bias
+    return used, model.weights(used), model.bias
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order, label, rows = [], [], []
     for batch in batches:
-        order += batch.column("_order").to_pylist()
+        order += zip(batch.column("_order").to_pylist(), batch.column("_tie").to_pylist(), strict=True)
         label += batch.column("toxic").to_pylist()
         found, cut = batch.column("features").values.to_numpy(), batch.column("features").offsets.to_numpy()
         rows += [found[a:b].copy() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    by = sorted(range(len(rows)), key=lambda k: (order[k], label[k], len(rows[k])))
+    by = sorted(range(len(rows)), key=order.__getitem__)
     at, w, bias = fit([rows[k] for k in by], np.array([label[k] for k in by], np.int64))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(w, bias), pa.float64())], ["feature", "weight"])
 
@@ -115,18 +117,21 @@ class Weights:
 
     def __init__(self, at: np.ndarray, weight: np.ndarray, bias: float):
         self.at, self.weight, self.bias = at, weight, bias
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[at & 0xFFFF] = True
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[at & 0xFFFFF] = True
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        found, cut = features(data, offsets)
+        """A score for each row; only features that have a weight are made distinct."""
         total = np.zeros(len(offsets) - 1)
         if len(self.at):
-            some = np.flatnonzero(self.maybe[found & 0xFFFF])
-            where = np.minimum(np.searchsorted(self.at, found[some]), len(self.at) - 1)
-            hit = self.at[where] == found[some]
-            row = np.searchsorted(cut, some[hit], side="right") - 1
-            total = np.bincount(row, self.weight[where[hit]], minlength=len(total))
+            hits = []
+            for row, found in occurrences(data, offsets):
+                some = np.flatnonzero(self.maybe[found & 0xFFFFF])
+                where = np.minimum(np.searchsorted(self.at, found[some]), len(self.at) - 1)
+                hit = self.at[where] == found[some]
+                hits.append((row[some[hit]] << HASH_BITS) | where[hit])
+            key = np.unique(np.concatenate(hits))
+            total = np.bincount(key >> HASH_BITS, self.weight[key & ((1 << HASH_BITS) - 1)], minlength=len(total))
         return 1 / (1 + np.exp(-np.clip(self.bias + total, -30, 30)))
 
 
@@ -136,10 +141,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Weights:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     known = known.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order").limit(TRAIN_ROWS)
-    rows = docs.select("doc_id", docs["text"].alias("_text")).join(F.broadcast(known), "doc_id").select("_order", "_toxic", "_text")
-    found = rows.mapInArrow(_featurise, "_order long, toxic int, features array<int>")
-    # one task learns from the bounded sample; a repeated doc_id could exceed it, so the bound holds for rows as well
-    one = found.orderBy("_order").limit(TRAIN_ROWS).repartition(1)
+    rows = docs.select("doc_id", docs["text"].alias("_text")).join(F.broadcast(known), "doc_id")
+    # a repeated doc_id could exceed the sample, so the bound holds for rows as well
+    rows = rows.select("_order", F.xxhash64("_text").alias("_tie"), "_toxic", "_text")
+    found = rows.mapInArrow(_featurise, "_order long, _tie long, toxic int, features array<int>")
+    one = found.orderBy("_order", "_tie").limit(TRAIN_ROWS).repartition(1)
     out = one.mapInArrow(_train, "feature int, weight double").toArrow()
     at, w = out.column("feature").to_numpy(), out.column("weight").to_numpy()
     if not len(at):

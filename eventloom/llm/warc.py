@@ -8,7 +8,7 @@ Archives are written through Arrow's file systems, by the scheme of the shared f
 names; only the files of attempts that count are in the manifest, a table that is staged before anything is read.
 
 Defined cases: a null payload is empty; a null url gives no target URI, control characters in one are percent-encoded; a null page_id
-comes back null and is a response unless a copy has an id; rows that repeat the smallest page_id of a payload are all responses;
+comes back null and is a response unless a copy has an id; page_id may be of any type that a string can be cast to, and comes back as it; rows that repeat the smallest page_id of a payload are all responses;
 an empty table gives no archives and no rows; other columns don't matter.
 """
 
@@ -19,6 +19,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,7 +35,7 @@ CHUNK, SPLIT, ARCHIVE = 32 << 10, 16 << 20, 1 << 30
 MIN_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ID = "urn:x-page:"
+ID, NO_ID = "urn:x-page:", "urn:x-no-page"
 MANIFEST = "archive string, offset long, length long, records long"
 CHUNKS = (
     "record_id string, record_type string, refers_to string, target_uri string, chunk_no int, last boolean, "
@@ -51,15 +52,18 @@ def _safe(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
+def _name(page_id) -> str:
+    return NO_ID if page_id is None else ID + quote(str(page_id), safe="")
+
+
 def _header(page_id, url, digest: str, size: int, refers) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
-    name = "" if page_id is None else page_id
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <{ID}{name}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <{_name(page_id)}>", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_safe(url)}")
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{ID}{refers}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_name(refers)}>"]
     block = len(http) + (size if refers is None else 0)
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {block}", "", ""]
     return "\r\n".join(lines).encode() + http.encode()
@@ -140,10 +144,11 @@ def chunked(pages: DataFrame, payload: str = "html") -> DataFrame:
     rows = rows.join(copies, "digest", "left").withColumn("refers", F.when(later, F.col("first")))
     rows = rows.withColumn("_raw", F.when(F.col("refers").isNull(), F.col("_raw")).otherwise(F.lit(b"")))
     cuts = F.expr(f"sequence(0, greatest(cast(ceil(octet_length(_raw) / {CHUNK}) as int) - 1, 0))")
-    parts = F.transform(cuts, lambda k: F.substring(F.col("_raw"), k * CHUNK + 1, F.lit(CHUNK)))
-    last = F.greatest(F.ceil(F.octet_length("_raw") / CHUNK) - 1, F.lit(0)).alias("_last")
-    rows = rows.select("page_id", "url", "digest", "size", "refers", last, F.posexplode(parts).alias("no", "chunk"))
-    return rows.select("page_id", "url", "digest", "size", "refers", "no", (F.col("no") == F.col("_last")).alias("last"), "chunk")
+    # numbers are exploded, not chunks: a row's payload is in memory once, and one chunk of it
+    rows = rows.select("page_id", "url", "digest", "size", "refers", "_raw", F.explode(cuts).alias("no"))
+    last = (F.col("no") + 1) * CHUNK >= F.octet_length("_raw")
+    chunk = F.substring(F.col("_raw"), F.col("no") * CHUNK + 1, F.lit(CHUNK))
+    return rows.select("page_id", "url", "digest", "size", "refers", "no", last.alias("last"), chunk.alias("chunk"))
 
 
 def write_archives(pages: DataFrame, payload: str = "html") -> DataFrame:
@@ -244,13 +249,13 @@ def read_chunks(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 def page_records(pages: DataFrame) -> DataFrame:
     """Write pages to archives, read them back, and return a row for each record."""
     got = read_chunks(write_archives(pages), with_payload=False).where("last")
+    kind = pages.schema["page_id"].dataType
 
-    def number(c: str):
-        return F.regexp_replace(c, f"^{ID}", "").try_cast("bigint")
+    def page(c: str):
+        return F.when(F.startswith(F.col(c), F.lit(ID)), F.url_decode(F.substring(F.col(c), len(ID) + 1, 1 << 30)).cast(kind))
 
     return got.select(
-        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        number("refers_to").alias("refers_to"), "digest_ok",
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "digest_ok",
     )
 
 

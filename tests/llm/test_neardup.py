@@ -66,6 +66,27 @@ def test_a_chain_in_large_buckets_is_one_class(spark):
     assert {r.class_id for r in found.collect()} == {0}
 
 
+def test_near_copies_without_ids_and_a_column_named_row(spark):
+    base = words(400, 50)
+    near = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in (20, 160, 300)]
+    for ids in ((None, 2, 5), (None, None, 5)):
+        df = spark.createDataFrame([*((i, t, "mine") for i, t in zip(ids, near, strict=True)), (9, "else " + " ".join(words(50, 51)), "mine")], "doc_id long, text string, _row string")
+        least = min((i for i in ids if i is not None), default=None)
+        got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(df).collect()), key=str)
+        assert got == sorted([*((i, least) for i in ids), (9, 9)], key=str)
+        kept = neardup.drop_near_copies(df).collect()
+        assert sorted((r.doc_id for r in kept), key=str) == sorted([least, 9], key=str) and {r._row for r in kept} == {"mine"}
+
+
+def test_vectors_are_exact():
+    idf = np.linspace(1, 3, neardup.IDF_BUCKETS).astype(np.float32)
+    element = np.sort(np.random.default_rng(2).integers(0, 1 << 44, 500).astype(np.uint64))
+    times = np.ones(500, np.int64)
+    times[[3, 70]] = 70_000, 2
+    name, weight = neardup._read_vector(neardup.write_vector(element, times), idf)
+    assert (name == element).all() and np.allclose(weight, times * idf[neardup.bucket(element)])
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (9, "A b. c d e f"), (3, None), (3, None), (None, "q r s t u v")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
