@@ -36,9 +36,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = f"mix_{name}"
+    return name
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, key = (numbered(docs), "_row") if odd_ids(docs) else (docs, "doc_id")
-    names = {c: f"mix_{c}" if c in docs.columns else c for c in ("size", "source_size", "target", "taken")}
+    rows, key = numbered(docs) if odd_ids(docs) else (docs, "doc_id")
+    names = {c: _free(c, docs.columns) for c in ("size", "source_size", "target", "taken")}
     taken = mixing.mix(rows, [c for c in [key] if c != "doc_id"]).where("taken > 0")
     taken = taken.select(key, *[F.col(c).alias(name) for c, name in names.items()])
     return rows.join(taken, key).select(*docs.columns, *names.values())
