@@ -44,7 +44,7 @@ BANDS, ROWS = 14, 4
 TURNS, DEPTH, STRIDES = 3, 5, (1, 3)
 #: In the exact end, units of a block, and units that it meets in one group of rows; buckets of up to DONE units need no
 #: such end, as the pivots of the first two turns are in each of their pairs.
-BLOCK, SLICE, DONE = 256, 4096, 3
+BLOCK, SLICE, DONE = 256, 1024, 3
 IDF_BUCKETS = 1 << 16
 #: Ids that may be broadcast to select texts; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
