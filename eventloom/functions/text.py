@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,27 +34,39 @@ FLAGS = {
     29: r"(?i)\b(buybacks?|repurchases?|dividends?|M&A|acquisitions?)\b",
     30: r"(?i)\b(layoffs?|restructuring|headcount)\b",
 }
+#: What a text in lower case must contain for the pattern to fit: cheap to look for, so few texts meet the pattern itself.
+HINTS = {
+    1: ["operator", "moderator", "coordinator"], 2: ["from", "at", "with"], 3: ["good"], 4: ["thank", "welcome"], 5: ["turn", "open", "begin"], 6: ["next", "moving"],
+    7: ["replay", "webcast", "press", "8"], 8: ["safe", "forward"], 9: ["gaap"], 10: ["sec", "regulation", "private"], 12: ["$", "usd"], 13: ["%"],
+    15: ["million", "billion", "thousand"], 16: ["basis", "bps"], 17: ["yoy", "year", "sequential", "q1", "q2", "q3", "q4"],
+    18: ["margin", "eps", "ebitda", "revenue", "guidance", "outlook"], 19: ["thank"], 20: ["congratulations", "great", "nice"], 23: ["?"],
+    27: ["first", "second", "third", "finally"], 28: ["step", "phase"], 29: ["buyback", "repurchase", "dividend", "m&a", "acquisition"],
+    30: ["layoff", "restructuring", "headcount"],
+}
+FORWARD_HINTS = ["belief", "expectation", "projection"]
 FORWARD, MODAL = r"(?i)\b(beliefs?|expectations?|projections?)\b", r"(?i)\b(may|could|might|will)\b"
 #: A sentence of so many words at most is short.
 SHORT_WORDS = 5
 
 
-def features(text: Column) -> list[Column]:
-    """h01 .. h30 of a text: flags, ratios, counts and lengths; a null text counts as empty."""
+def features(text: Column, low: Column | None = None) -> list[Column]:
+    """h01 .. h30 of a text: flags, ratios, counts and lengths; a null text counts as empty. low: the text in lower case, if it's at hand."""
     t = F.coalesce(text, F.lit(""))
+    low = F.lower(t) if low is None else F.coalesce(low, F.lit(""))
     n = F.length(t)
     share = lambda x: x / F.greatest(n, F.lit(1))
-    words = F.regexp_count(t, F.lit(r"\S+"))
+    among = lambda chars: n - F.length(F.translate(t, chars, ""))
+    hinted = lambda words: reduce(or_, (F.contains(low, F.lit(w)) for w in words))
     special = {
-        11: t.rlike(FORWARD) & t.rlike(MODAL),
-        14: share(F.regexp_count(t, F.lit(r"\d"))),
+        11: hinted(FORWARD_HINTS) & t.rlike(FORWARD) & t.rlike(MODAL),
+        14: share(among("0123456789")),
         21: n,
-        22: (words > 0) & (words <= SHORT_WORDS),
-        24: F.regexp_count(t, F.lit("!")),
-        25: share(F.regexp_count(t, F.lit("[,;]"))),
+        22: t.rlike(rf"\A\s*+\S++(?:\s++\S++){{0,{SHORT_WORDS - 1}}}+\s*+\z"),
+        24: among("!"),
+        25: share(among(",;")),
         26: share(F.length(F.array_join(F.regexp_extract_all(t, F.lit(r"(\p{Lu}{2,})"), F.lit(1)), ""))),
     }
-    return [(special[k] if k in special else t.rlike(FLAGS[k])).cast("double").alias(f"h{k:02}") for k in range(1, 31)]
+    return [(special[k] if k in special else hinted(HINTS[k]) & t.rlike(FLAGS[k])).cast("double").alias(f"h{k:02}") for k in range(1, 31)]
 
 
 def phrase_key(text: Column) -> Column:
@@ -61,10 +76,11 @@ def phrase_key(text: Column) -> Column:
 
 def lexicon_score(text: Column, good: list[str], bad: list[str]) -> Column:
     """(p - n) / (p + n) over the words of a text; a word in both lists is good; null if there are none."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]+)"), F.lit(1))
-    p = F.size(F.filter(words, lambda w: w.isin(good)))
-    n = F.size(F.filter(words, lambda w: w.isin(bad) & ~w.isin(good)))
-    return F.when(p + n > 0, (p - n) / (p + n))
+    # the words are what one pass of the pattern finds; those of the other list are what is left
+    listed = rf"(?<![a-z])({'|'.join(sorted({*good, *bad}))})(?![a-z])"
+    words = F.regexp_extract_all(F.lower(text), F.lit(listed), F.lit(1))
+    both, p = F.size(words), F.size(F.filter(words, lambda w: w.isin(good)))
+    return F.when(both > 0, (2 * p - both) / both)
 
 
 def sentences(text: Column) -> Column:

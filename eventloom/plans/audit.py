@@ -69,12 +69,12 @@ def j13_complete_votes(spark: SparkSession, sf: str) -> DataFrame:
     return J.complete_votes(lab.select("doc_id"), [first.unionByName(early), second], "doc_id")
 
 
-@query("""WITH e AS (SELECT s_suppkey AS ticker, 'miss' AS status FROM supplier WHERE s_suppkey % 2 = 0), n AS (SELECT s_suppkey AS ticker, CASE WHEN s_suppkey % 3 = 0 THEN 'ok' ELSE 'gone' END AS status FROM supplier WHERE s_suppkey % 5 < 3)
+@query("""WITH e AS (SELECT s_suppkey AS ticker, 'miss' AS status FROM supplier WHERE s_acctbal > 2000), n AS (SELECT s_suppkey AS ticker, CASE WHEN s_acctbal > 5000 THEN 'ok' ELSE 'gone' END AS status FROM supplier WHERE s_nationkey < 15)
 SELECT * FROM e WHERE ticker NOT IN (SELECT ticker FROM n) UNION ALL SELECT * FROM n WHERE status != 'ok'""")
 def k04_failure_log(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ticker"))
-    old = s.where("ticker % 2 = 0").withColumn("status", F.lit("miss"))
-    new = s.where("ticker % 5 < 3").withColumn("status", F.when(F.col("ticker") % 3 == 0, "ok").otherwise("gone"))
+    s = table(spark, sf, "supplier").withColumnRenamed("s_suppkey", "ticker")
+    old = s.where("s_acctbal > 2000").select("ticker", F.lit("miss").alias("status"))
+    new = s.where("s_nationkey < 15").select("ticker", F.when(F.col("s_acctbal") > 5000, "ok").otherwise("gone").alias("status"))
     return P.log_failures(old, new, True)
 
 
@@ -118,10 +118,10 @@ def f02_written_dates(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", F.coalesce(F.try_to_timestamp(part, F.lit("MMMM d, yyyy")), F.try_to_timestamp(part, F.lit("MMM d, yyyy"))).cast("date").alias("found"))
 
 
-@query("""WITH p AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN left(text, 60) END) AS q, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id) SELECT conv_id, md5('Question: ' || q || ' / ' || roles) AS prompt FROM p""")
+@query("""WITH p AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS q, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id) SELECT conv_id, md5('Question: ' || q || ' / ' || roles) AS prompt FROM p""")
 def f12_prompts(spark: SparkSession, sf: str) -> DataFrame:
     roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 60))).alias("q"), roles.alias("roles"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("q"), roles.alias("roles"))
     return c.select("conv_id", F.md5(F.format_string("Question: %s / %s", "q", "roles")).alias("prompt"))
 
 

@@ -259,14 +259,18 @@ def g02_weighted_vote(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("g").agg(F.max_by("label", F.struct("w", -pri)).alias("label"), F.max("w").alias("votes"))
 
 
-@query(f"""WITH {SIGNALS}, s AS (SELECT DISTINCT sector, ticker FROM signals WHERE signal_id % 17 = 0), p AS (SELECT a.sector AS x, b.sector AS y, (SELECT count(*) FROM s u JOIN s v USING (ticker) WHERE u.sector = a.sector AND v.sector = b.sector)::DOUBLE AS i,
-(SELECT count(DISTINCT ticker) FROM s u WHERE u.sector IN (a.sector, b.sector)) AS n FROM (SELECT DISTINCT sector FROM s) a JOIN (SELECT DISTINCT sector FROM s) b ON a.sector < b.sector) SELECT count(*) AS pairs, round(avg(i / n), {R}) AS jaccard FROM p""")
+@query(f"""WITH {SIGNALS}, s AS (SELECT DISTINCT sector, ticker, date FROM signals), z AS (SELECT sector, count(*) AS n FROM s GROUP BY sector), i AS (SELECT a.sector AS x, b.sector AS y, count(*) AS i FROM s a JOIN s b ON a.ticker = b.ticker AND a.date = b.date AND a.sector < b.sector GROUP BY 1, 2)
+SELECT count(*) AS pairs, round(avg(coalesce(i, 0)::DOUBLE / (p.n + q.n - coalesce(i, 0))), {R}) AS jaccard FROM z p JOIN z q ON p.sector < q.sector LEFT JOIN i ON x = p.sector AND y = q.sector""")
 def g05_j17_mean_pair_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean Jaccard over unordered pairs of groups; groups are few, their sets are small."""
-    sets = V.signals(spark, sf).where("signal_id % 17 = 0").groupBy("sector").agg(F.collect_set("ticker").alias("s"))
-    a, b = sets.select(F.col("sector").alias("x"), F.col("s").alias("sx")), sets.select(F.col("sector").alias("y"), F.col("s").alias("sy"))
-    pairs = a.join(b, F.col("x") < F.col("y"))
-    return pairs.agg(F.count("*").alias("pairs"), F.round(F.avg(F.size(F.array_intersect("sx", "sy")) / F.size(F.array_union("sx", "sy"))), R).alias("jaccard"))
+    """Mean Jaccard over unordered pairs of sectors, of the sets of (ticker, day) that have a signal; only pairs of sectors that meet in an element are formed."""
+    s = V.signals(spark, sf).select("sector", "ticker", "date").distinct()
+    size = s.groupBy("sector").agg(F.count("*").alias("n"))
+    x, y = s.withColumnRenamed("sector", "x"), s.withColumnRenamed("sector", "y")
+    both = x.join(y, ["ticker", "date"]).where("x < y").groupBy("x", "y").agg(F.count("*").alias("i"))
+    p, q = size.select(F.col("sector").alias("x"), F.col("n").alias("nx")), size.select(F.col("sector").alias("y"), F.col("n").alias("ny"))
+    i = F.coalesce("i", F.lit(0))
+    pairs = p.join(q, F.col("x") < F.col("y")).join(both, ["x", "y"], "left")
+    return pairs.agg(F.count("*").alias("pairs"), F.round(F.avg(i / (F.col("nx") + F.col("ny") - i)), R).alias("jaccard"))
 
 
 @query(f"""WITH {SIGNALS}, m AS (SELECT ticker, sector, avg(score) AS m FROM signals GROUP BY 1, 2) SELECT ticker, count(*) AS roles, round(CASE WHEN count(*) >= 2 THEN stddev_samp(m) END, 4) AS sd,
@@ -306,15 +310,19 @@ def g30_quantile_grid(spark: SparkSession, sf: str) -> DataFrame:
     return c.where("n >= 3").groupBy("sector").agg(F.round(F.max_by("tau", F.struct("hit", "n")), 4).alias("tau"))
 
 
-@query("""WITH b AS (SELECT o_orderkey AS id, o_totalprice AS a, CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice * (1 + 1e-12) END AS b FROM orders WHERE o_orderkey % 211 > 0)
-SELECT count(*) AS rows, CAST(count(*) FILTER (WHERE b IS NULL) AS BIGINT) AS only_one, count(*) FILTER (WHERE abs(a - b) > 1e-12 + 1e-9 * abs(b)) AS mismatches FROM b""")
+@query(f"""WITH {V.PRICES}, o AS (SELECT l_orderkey, CAST(l_partkey % {V.TICKERS} AS INT) AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) AS v, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3),
+r AS (SELECT ticker, date, sum(v) / sum(q) AS again FROM o GROUP BY 1, 2) SELECT count(*) AS rows, CAST(count(*) FILTER (WHERE (close IS NULL) != (again IS NULL)) AS BIGINT) AS only_one,
+count(*) FILTER (WHERE abs(close - again) > 1e-12 + 1e-9 * abs(again)) AS mismatches FROM prices FULL JOIN r USING (ticker, date)""")
 def g34_parity(spark: SparkSession, sf: str) -> DataFrame:
-    """Two builds of a column compared within a relative and an absolute tolerance."""
-    o = table(spark, sf, "orders").where("o_orderkey % 211 > 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("a"))
-    k = F.col("id")
-    again = o.select("id", F.when(k % 97 == 0, F.col("a") + 1).when(k % 5 == 0, F.lit(None)).otherwise(F.col("a") * (1 + 1e-12)).alias("b"))
-    far = F.abs(F.col("a") - F.col("b")) > 1e-12 + 1e-9 * F.abs("b")
-    return o.join(again, "id", "full").agg(F.count("*").alias("rows"), F.count_if(F.col("b").isNull() != F.col("a").isNull()).alias("only_one"), F.count_if(far).alias("mismatches"))
+    """The batch's prices (exact sums by ticker and day) against a replay order by order (sums of doubles), within a relative and an absolute tolerance."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", (F.col("l_partkey") % V.TICKERS).cast("int").alias("ticker"), F.col("l_shipdate").cast("date").alias("date"), "l_extendedprice", "l_quantity"
+    )
+    orders = lines.groupBy("l_orderkey", "ticker", "date").agg(F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("q"))
+    replay = orders.groupBy("ticker", "date").agg((F.sum("v") / F.sum("q")).alias("again"))
+    far = F.abs(F.col("close") - F.col("again")) > 1e-12 + 1e-9 * F.abs("again")
+    both = V.prices(spark, sf).join(replay, ["ticker", "date"], "full")
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("close").isNull() != F.col("again").isNull()).alias("only_one"), F.count_if(far).alias("mismatches"))
 
 
 @query(f"""{BASE}, {RANKED} SELECT CASE WHEN month < DATE '1997-01-01' THEN 'early' WHEN month < DATE '1999-01-01' THEN 'middle' ELSE 'late' END AS period, count(ic) AS months, round(sum(ic * n) / sum(n) FILTER (WHERE ic IS NOT NULL), {R}) AS ic FROM ic GROUP BY 1""")

@@ -220,12 +220,12 @@ def j08_strictly_before(spark: SparkSession, sf: str) -> DataFrame:
     return J.asof(s, days, "k", "date", "anchor", [], 400, strict=True).select("signal_id", "anchor")
 
 
-UNIVERSE = "universe AS (SELECT DISTINCT last_day(date) AS snapshot, ticker FROM signals WHERE signal_id % 7 < 3)"
+UNIVERSE = "universe AS (SELECT DISTINCT last_day(date) AS snapshot, ticker FROM signals WHERE signal_type = '1-URGENT')"
 
 
 def universe(spark, sf):
     s = V.signals(spark, sf)
-    return s.where("signal_id % 7 < 3").select(F.last_day("date").alias("snapshot"), "ticker").distinct()
+    return s.where("signal_type = '1-URGENT'").select(F.last_day("date").alias("snapshot"), "ticker").distinct()
 
 
 @query(f"""WITH {SIGNALS}, {UNIVERSE}, d AS (SELECT DISTINCT snapshot FROM universe), a AS (SELECT s.signal_id, s.ticker, s.date, d.snapshot FROM signals s ASOF JOIN d ON s.date >= d.snapshot)

@@ -28,8 +28,8 @@ def _feature_sql() -> str:
 
 @query(_feature_sql())
 def f09_f10_text_features(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    f = d.select("doc_id", *T.features(F.col("text")))
+    d = table(spark, sf, "documents").select("doc_id", "text", F.lower("text").alias("low"))
+    f = d.select("doc_id", *T.features(F.col("text"), F.col("low")))
     return f.select("doc_id", *[F.round(c, R).alias(c) for c in f.columns[1:]])
 
 
@@ -137,18 +137,20 @@ def t05_t03_j15_frequent_and_recent(spark: SparkSession, sf: str) -> DataFrame:
     return s.join(F.broadcast(top), "ticker", "left_semi").join(F.broadcast(last), F.col("date") > F.col("after")).select("signal_id")
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderdate >= DATE '1996-06-01' THEN 'new' ELSE 'old' END AS state FROM orders WHERE o_orderstatus != 'P' OR o_orderdate >= DATE '1996-06-01'""")
 def k02_u01_j14_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    old, new = o.where("id % 2 = 0").withColumn("state", F.lit("old")), o.where("id % 3 = 0").withColumn("state", F.lit("new"))
+    o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "id")
+    old = o.where("o_orderstatus != 'P'").select("id", F.lit("old").alias("state"))
+    new = o.where("o_orderdate >= date'1996-06-01'").select("id", F.lit("new").alias("state"))
     return S.upsert(old, new, ["id"])
 
 
-@query("""SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""")
+@query("""SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT c_custkey FROM customer WHERE c_acctbal > 5000 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""")
 def u02_u03_set_algebra(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    c = table(spark, sf, "customer")
+    one, two = (c.where(x).select(F.col("c_custkey").alias("k")) for x in ("c_mktsegment = 'BUILDING'", "c_acctbal > 5000"))
     drop = table(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_custkey")
-    return c.where("k % 2 = 0").union(c.where("k % 3 = 0")).distinct().exceptAll(drop.distinct())
+    return one.union(two).distinct().exceptAll(drop.distinct())
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(coalesce(try_cast(CASE WHEN l_linenumber % 3 = 0 THEN 'x' ELSE l_linenumber::VARCHAR END AS INT), 0) AS INT) AS code, round(l_quantity + l_discount - l_tax, 8) AS total,
