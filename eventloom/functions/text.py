@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +45,8 @@ HINTS = {
 }
 FORWARD_HINTS = ["belief", "expectation", "projection"]
 FORWARD, MODAL = r"(?i)\b(beliefs?|expectations?|projections?)\b", r"(?i)\b(may|could|might|will)\b"
+#: So many listed words are counted one by one; more are looked up word by word.
+FEW_WORDS = 32
 #: A sentence of so many words at most is short.
 SHORT_WORDS = 5
 
@@ -62,7 +64,7 @@ def features(text: Column, low: Column | None = None) -> list[Column]:
         14: share(among("0123456789")),
         21: n,
         22: t.rlike(rf"\A\s*+\S++(?:\s++\S++){{0,{SHORT_WORDS - 1}}}+\s*+\z"),
-        24: among("!"),
+        24: n - F.length(F.replace(t, F.lit("!"), F.lit(""))),
         25: share(among(",;")),
         26: share(F.length(F.array_join(F.regexp_extract_all(t, F.lit(r"(\p{Lu}{2,})"), F.lit(1)), ""))),
     }
@@ -76,11 +78,18 @@ def phrase_key(text: Column) -> Column:
 
 def lexicon_score(text: Column, good: list[str], bad: list[str]) -> Column:
     """(p - n) / (p + n) over the words of a text; a word in both lists is good; null if there are none."""
-    # the words are what one pass of the pattern finds; those of the other list are what is left
-    listed = rf"(?<![a-z])({'|'.join(sorted({*good, *bad}))})(?![a-z])"
-    words = F.regexp_extract_all(F.lower(text), F.lit(listed), F.lit(1))
-    both, p = F.size(words), F.size(F.filter(words, lambda w: w.isin(good)))
-    return F.when(both > 0, (2 * p - both) / both)
+    only_bad = [w for w in bad if w not in good]
+    if len(good) + len(only_bad) > FEW_WORDS:
+        whole = F.split(F.lower(text), "[^a-z]+")
+        count = lambda words, own: F.size(F.filter(words, lambda w: w.isin(own)))
+    else:
+        # two spaces between words, so that none shares its spaces with the next
+        whole = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z]+", "  "), F.lit(" "))
+        times = lambda s, w: (F.length(s) - F.length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)
+        count = lambda s, own: reduce(add, (times(s, w) for w in own), F.lit(0.0))
+    # a list of one binds what the counts share, so it is made once
+    both = F.transform(F.array(whole), lambda x: F.struct(count(x, good).alias("p"), count(x, only_bad).alias("n")))
+    return F.element_at(F.transform(both, lambda c: F.when(c.p + c.n > 0, (c.p - c.n) / (c.p + c.n))), 1)
 
 
 def sentences(text: Column) -> Column:
