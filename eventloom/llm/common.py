@@ -112,14 +112,14 @@ def neighbours(rows: DataFrame, order: list[str], carry: list[str], after: bool
 
     Within a range by a window; over the bounds by the first and last row of each range, one row each.
     """
-    dealt = range_parts(rows.withColumn("_me", F.struct(*carry)), [*order], "ordered")
-    ends = dealt.groupBy("_part").agg(F.min_by("_me", F.struct(*order)).alias("first"), F.max_by("_me", F.struct(*order)).alias("last"))
+    dealt, me = range_parts(rows, [*order], "ordered"), F.struct(*carry)
+    ends = dealt.groupBy("_part").agg(F.min_by(me, F.struct(*order)).alias("first"), F.max_by(me, F.struct(*order)).alias("last"))
     w, inner = W.orderBy("_part"), W.partitionBy("_part").orderBy(*order)
     bounds = ends.select(F.col("_part").alias("_p"), F.lag("last").over(w).alias("_before"), F.lead("first").over(w).alias("_after"))
-    both = {"before": F.lag("_me").over(inner)} | ({"after": F.lead("_me").over(inner)} if after else {})
+    both = {"before": F.lag(me).over(inner)} | ({"after": F.lead(me).over(inner)} if after else {})
     own = dealt.withColumns(both)
     joined = own.join(bounds, own["_part"] == bounds["_p"])
-    return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in both}).drop("_me", "_part", "_p", "_before", "_after")
+    return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in both}).drop("_part", "_p", "_before", "_after")
 
 
 # ---- vectorised work on the bytes of an Arrow batch ----

@@ -1,6 +1,6 @@
 """Main text of web pages: differencing against the nearest page of the same host, and the page's structure where that can't decide.
 
-1. A page is parsed once into lines (blocks of text), menus and footers included, and staged with a 64-bit hash of each line.
+1. A page is parsed into lines (blocks of text), menus and footers included, with a 64-bit hash of each line.
 2. Pages of a host with the same outline (the same lines) count as one page, at the smallest of their urls; then the pages of a url count as one.
    What is left is ordered by (host, path, url); the neighbour with the longer common path prefix is the partner (the one before on a tie).
    So a copy of a page, or another version of its url, is never its partner.
@@ -10,7 +10,8 @@
 
 Differencing alone can't give the right text: it leaves menus and adverts that change from page to page, and deletes what articles
 share; n_shared and n_structure say how many lines each rule removed. Pages are paired by a global order in ranges: no host is
-gathered in one task, only line hashes are shuffled to pair them, and lines once to meet what their outline shares.
+gathered in one task, and only line hashes are shuffled and staged to pair them. Pages are parsed twice, for their hashes and for their text: staged texts would
+take more disk than the parse takes time. Texts, and the lines of pages without an article, are shuffled once, to meet what their outline shares.
 
 Defined cases: null html has no text; a null url is of the empty host; a page without another url and outline on its host has no partner and
 keeps its lines; repeated rows have equal texts; broken markup is read to the end; an empty table gives an empty table; other columns don't matter.
@@ -151,14 +152,16 @@ def _hash(lines: list[list[str]]) -> list[list[int]]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of every page, their kinds and hashes."""
+    """The kinds and hashes of the lines of every page; the text of the lines that an article owns, or all lines of a page without one."""
     for block in blocks(batches, "_html"):
         found = [lines_of(page) for page in _strings(block, "_html")]
-        lines = [[x for x, _ in own] for own in found]
+        lines, kinds = [[x for x, _ in own] for own in found], [[k for _, k in own] for own in found]
+        text = [" ".join(x for x, k in own if k == OWNED) if OWNED in kind else None for own, kind in zip(found, kinds, strict=True)]
         keep = ["page_id", "url", "host", "path"]
         columns = [block.column(c) for c in keep]
-        columns += [pa.array(lines, pa.list_(pa.string())), pa.array([[k for _, k in own] for own in found], pa.list_(pa.int8()))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(_hash(lines), pa.list_(pa.int64()))], [*keep, "lines", "kinds", "hashes"])
+        columns += [pa.array(text, pa.string()), pa.array([own if t is None else None for own, t in zip(lines, text, strict=True)], pa.list_(pa.string()))]
+        columns += [pa.array(kinds, pa.list_(pa.int8())), pa.array(_hash(lines), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, [*keep, "text", "lines", "kinds", "hashes"])
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -206,52 +209,44 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = []
         for at in batch.select(["path", "hashes", "before", "after", "host"]).to_pylist():
             near = [x for x in (at["before"], at["after"]) if x and x["host"] == at["host"]]
-            partner = max(near, key=lambda x: _prefix(x["path"], at["path"])) if near else None
+            partner = max(near, key=lambda x: _prefix(x["at"]["path"], at["path"])) if near else None
             shared.append(common_lines(at["hashes"], partner["hashes"]) if partner else [])
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("outline"), pa.array(shared, pa.list_(pa.int32()))], ["host", "outline", "shared"])
 
 
-def kept_lines(lines: list[str], kinds: list[int], shared: set[int]) -> tuple[str, int, int]:
+def kept_text(owned: str | None, lines: list[str] | None, kinds: list[int], shared: set[int]) -> tuple[str, int, int]:
     """(text, lines removed because they're shared, lines removed by structure)."""
-    owned = OWNED in kinds
-    text, by_partner, by_structure = [], 0, 0
-    for k, (line, kind) in enumerate(zip(lines, kinds, strict=True)):
-        if kind == OWNED:
-            text.append(line)
-        elif k in shared:
-            by_partner += 1
-        elif kind == FURNISHED or owned:
-            by_structure += 1
-        else:
-            text.append(line)
-    return " ".join(text), by_partner, by_structure
+    left = [k for k, kind in enumerate(kinds) if kind != OWNED and k not in shared]
+    by_partner = sum(kind != OWNED for kind in kinds) - len(left)
+    kept = [] if lines is None else [lines[k] for k in left if kinds[k] == OUTSIDE]
+    return (" ".join(kept) if owned is None else owned), by_partner, len(left) - len(kept)
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("lines", "kinds", "shared"))
-        found = [kept_lines(lines, kinds, set(shared or ())) for lines, kinds, shared in zip(*columns, strict=True)]
+        columns = (batch.column(c).to_pylist() for c in ("text", "lines", "kinds", "shared"))
+        found = [kept_text(text, lines, kinds, set(shared or ())) for text, lines, kinds, shared in zip(*columns, strict=True)]
         text, *removed = zip(*found, strict=True) if found else ((), (), ())
         out = [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), *(pa.array(x, pa.int32()) for x in removed)]
         yield pa.RecordBatch.from_arrays(out, ["page_id", "url", "text", "n_shared", "n_structure"])
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, lines, kinds, hashes, outline for each row of pages; staged."""
+    """page_id, url, host, path, text, lines, kinds, hashes, outline for each row of pages."""
     small_batches(pages.sparkSession)
     raw = pages.select("page_id", "url", pages["html"].alias("_html"))
     placed = raw.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, path string, lines array<string>, kinds array<tinyint>, hashes array<bigint>"
-    return stage(placed.mapInArrow(_parse, schema).withColumn("outline", F.xxhash64("hashes", "kinds")), "lines")
+    schema = f"page_id {kind}, url string, host string, path string, text string, lines array<string>, kinds array<tinyint>, hashes array<bigint>"
+    return placed.mapInArrow(_parse, schema).withColumn("outline", F.xxhash64("hashes", "kinds"))
 
 
 def shared_lines(lines: DataFrame) -> DataFrame:
     """(host, outline, shared) of each outline of each host."""
     outlines = lines.groupBy("host", "outline").agg(F.min(F.struct("path", "url")).alias("at"), F.first("hashes").alias("hashes"))
     outlines = stage(outlines, "outlines")
-    urls = outlines.groupBy("host", "at").agg(F.min_by("hashes", "outline").alias("hashes")).withColumn("path", F.col("at.path"))
-    paired = neighbours(urls, ["host", "at"], ["host", "path", "hashes"]).select("host", "at", "before", "after")
+    urls = outlines.groupBy("host", "at").agg(F.min_by("hashes", "outline").alias("hashes"))
+    paired = neighbours(urls, ["host", "at"], ["host", "at", "hashes"]).select("host", "at", "before", "after")
     rows = outlines.join(paired, ["host", "at"]).select("host", "outline", F.col("at.path").alias("path"), "hashes", "before", "after")
     return rows.mapInArrow(_difference, "host string, outline long, shared array<int>")
 
@@ -260,6 +255,6 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared, n_structure for each row of pages."""
     lines = parsed(pages)
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = lines.select("page_id", "url", "host", "outline", "lines", "kinds").join(shared_lines(lines), ["host", "outline"], "left")
+    rows = lines.select("page_id", "url", "host", "outline", "text", "lines", "kinds").join(shared_lines(lines), ["host", "outline"], "left")
     out = rows.mapInArrow(_keep, f"page_id {kind}, url string, text string, n_shared int, n_structure int")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_structure")

@@ -154,7 +154,10 @@ def test_differencing_against_all_pages_of_a_host(spark, parts):
         got = extract.extract(df).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert {x.page_id: x.text for x in got} == text_by_hand(rows) and sum(x.n_shared for x in got) > 50
+    want = text_by_hand(rows)
+    assert {x.page_id: x.text for x in got} == want and sum(x.n_shared for x in got) > 50
+    kept = sum(len(extract.lines_of(html or "")) for _, _, html in rows) - sum(x.n_shared + x.n_structure for x in got)
+    assert kept == sum(len(re.findall(r"body \d+ \d+|nav \d|Home|Products|Copyright|Imprint \d+", text)) for text in want.values())
 
 
 @pytest.mark.parametrize("seed", range(30))
