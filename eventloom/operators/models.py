@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+from typing import NamedTuple
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, Imputer, NGram, StandardScaler, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import rank_correlation
+from .evaluation import best_threshold, classification_report
 
 #: Fewer rows than this, or one class, give a constant.
 LEAST_ROWS = 20
@@ -56,21 +61,77 @@ def predict(model: PipelineModel | float, rows: DataFrame, name: str) -> DataFra
     return out.select(*rows.columns, p.alias("p"))
 
 
-def out_of_fold(df: DataFrame, columns: list[str], label: str, name: str, group: str, folds: int = 5) -> DataFrame:
-    """df with p from models that never saw the row's group; a fold is a hash of the group."""
+def out_of_fold(df: DataFrame, columns: list[str], label: str, name: str, group: str, folds: int = 5, **params) -> DataFrame:
+    """df with p from models that never saw the row's group; a fold is a hash of the group. `text` models take one column of text."""
     folded = df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)))
     out = None
     for k in range(folds):
-        part = predict(fit(folded.where(F.col("fold") != k), columns, label, name), folded.where(F.col("fold") == k), name)
+        train, rest = folded.where(F.col("fold") != k), folded.where(F.col("fold") == k)
+        model = text_model(train.fillna("", columns), columns[0], label, **params) if name == "text" else fit(train, columns, label, name, **params)
+        part = predict(model, rest.fillna("", columns) if name == "text" else rest, name)
         out = part if out is None else out.unionByName(part)
     return out.drop("fold")
 
 
+class Family(NamedTuple):
+    """One kind of model of a zoo: a factory name, `text`, or `rules` (the mean of its columns is the probability)."""
+
+    kind: str
+    columns: list[str]
+    params: dict = {}
+
+
+def zoo(df: DataFrame, families: dict[str, Family], key: str, label: str, group: str, folds: int = 5) -> DataFrame:
+    """model, key, label, p: out-of-fold probabilities of each family, and of `ensemble`, the mean of all of them."""
+    parts = []
+    for name, family in families.items():
+        if family.kind == "rules":
+            scored = df.withColumn("p", reduce(add, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in family.columns]) / len(family.columns))
+        else:
+            scored = out_of_fold(df, family.columns, label, family.kind, group, folds, **family.params)
+        parts.append(scored.select(F.lit(name).alias("model"), key, label, "p"))
+    every = reduce(DataFrame.unionByName, parts)
+    mean = every.groupBy(key, label).agg(F.avg("p").alias("p")).select(F.lit("ensemble").alias("model"), key, label, "p")
+    return every.unionByName(mean)
+
+
+def zoo_report(scored: DataFrame, label: str, recall: float, steps: int = 1000) -> DataFrame:
+    """model, threshold, rows and the classification report at it, for each model of a zoo: the best macro-F1 that reaches the recall."""
+    names = [r[0] for r in scored.select("model").distinct().collect()]  # one row a family
+    best = [best_threshold(scored.where(F.col("model") == name), label, "p", steps, recall).select(F.lit(name).alias("model"), "threshold") for name in names]
+    chosen = F.broadcast(reduce(DataFrame.unionByName, best))
+    # the same cells as in the search, so that a row on the threshold counts alike
+    pred = (F.floor(F.col("p") * steps + 1e-9) >= F.round(F.col("threshold") * steps)).cast("int")
+    return classification_report(scored.join(chosen, "model").withColumn("_pred", pred), label, "_pred", ["model", "threshold"])
+
+
+def known_before(at: str, ends: str, start) -> Column:
+    """Rows dated before a fold starts, whose label ended before it, too."""
+    return (F.col(at) < start) & (F.col(ends).isNull() | (F.col(ends) < start))
+
+
+def fit_windows(df: DataFrame, folds: list[tuple[str, str]], at: str, ends: str, label: str) -> DataFrame:
+    """fold, start, rows, first, last, last_end, clean: what the fit of each fold sees, in one pass; clean if nothing reaches the fold.
+
+    The folds are a short list; a fold whose fit sees nothing has nulls and is clean.
+    """
+    parts = []
+    for k, (start, _) in enumerate(folds):
+        seen = known_before(at, ends, F.lit(start).cast("date")) & F.col(label).isNotNull()
+        pick = lambda c, seen=seen: F.when(seen, F.col(c))
+        parts.append(F.struct(
+            F.lit(k).alias("fold"), F.lit(start).cast("date").alias("start"), F.count_if(seen).alias("rows"), F.min(pick(at)).alias("first"), F.max(pick(at)).alias("last"),
+            F.max(pick(ends)).alias("last_end"),
+        ))
+    got = df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+    return got.withColumn("clean", F.coalesce(F.greatest("last", "last_end") < F.col("start"), F.lit(True)))
+
+
 def walk_forward(df: DataFrame, folds: list[tuple[str, str]], at: str, ends: str, columns: list[str], label: str, name: str, least: int = 10, **params) -> DataFrame:
     """Test rows of each fold with p; a model trains on rows known before the fold whose label ended before it, too."""
     out = None
     for k, (start, stop) in enumerate(folds):
-        train = df.where((F.col(at) < start) & F.col(label).isNotNull() & (F.col(ends).isNull() | (F.col(ends) < start)))
+        train = df.where(known_before(at, ends, F.lit(start).cast("date")) & F.col(label).isNotNull())
         test = df.where((F.col(at) >= start) & (F.col(at) < stop))
         if train.limit(least).count() < least:
             continue
@@ -88,12 +149,12 @@ def nonzero_features(train: DataFrame, columns: list[str], label: str) -> list[s
     return [c.removesuffix("_filled") for c in kept] or columns
 
 
-def text_model(train: DataFrame, text: str, label: str) -> PipelineModel:
+def text_model(train: DataFrame, text: str, label: str, **params) -> PipelineModel:
     """Words and word pairs, hashed, under a logistic regression."""
     words, pairs = Tokenizer(inputCol=text, outputCol="words"), NGram(inputCol="words", outputCol="pairs", n=2)
     hashed = [HashingTF(inputCol=c, outputCol=f"tf_{c}", numFeatures=1 << 14) for c in ("words", "pairs")]
     both = VectorAssembler(inputCols=["tf_words", "tf_pairs"], outputCol="features")
-    return Pipeline(stages=[words, pairs, *hashed, both, factory("logistic", label, regParam=0.05)]).fit(train)
+    return Pipeline(stages=[words, pairs, *hashed, both, factory("logistic", label, **({"regParam": 0.05} | params))]).fit(train)
 
 
 def leaderboard(results: DataFrame, recall: float) -> DataFrame:

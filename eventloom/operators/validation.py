@@ -28,17 +28,6 @@ def audit(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
-def aspect_columns(columns: list[str]) -> dict[str, dict[str, list[str]]]:
-    """Names like AspectTheme_Current_Other_Positive_High grouped by aspect and theme; Fluff and Filler are left out."""
-    out: dict[str, dict[str, list[str]]] = {"aspect": {}, "theme": {}}
-    for c in columns:
-        parts = c.split("_")
-        if parts[0] == "AspectTheme" and len(parts) == 5 and not {"Fluff", "Filler"} & set(parts):
-            out["aspect"].setdefault(parts[1], []).append(c)
-            out["theme"].setdefault(parts[2], []).append(c)
-    return out
-
-
 def pending(sample: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a resumed run still has to do."""
     return sample.join(done.select(key).distinct(), key, "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -80,21 +81,97 @@ def zip_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.withColumn("_ok", whole).where("_ok").drop("_ok", "_right")
 
 
-def write_manifest(df: DataFrame, path: str, phase: str, parameters: dict[str, str]) -> None:
-    """Parquet output with a one-row manifest beside it: phase, parameters, rows and a content hash, for later validation."""
+def write_manifest(df: DataFrame, path: str, phase: str, parameters: dict[str, str], inputs: dict[str, DataFrame] | None = None) -> None:
+    """Parquet output with a one-row manifest beside it: phase, parameters, content hashes of inputs and output, rows."""
     df.write.mode("overwrite").parquet(f"{path}/data")
     back = df.sparkSession.read.parquet(f"{path}/data")
-    row = fingerprint(back).select(F.lit(phase).alias("phase"), F.create_map(*[F.lit(x) for kv in sorted(parameters.items()) for x in kv]).alias("parameters"), "rows", "digest")
+    row = fingerprint(back).select(F.lit(phase).alias("phase"), _text_map(parameters).alias("parameters"), _text_map(input_digests(inputs)).alias("inputs"), "rows", "digest")
     row.write.mode("overwrite").parquet(f"{path}/manifest")
 
 
+def _text_map(pairs: dict[str, str]):
+    items = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in sorted(pairs.items())]
+    return F.map_from_entries(F.array(*items)) if items else F.create_map().cast("map<string,string>")
+
+
+def input_digests(inputs: dict[str, DataFrame] | None) -> dict[str, str]:
+    return {name: fingerprint(df).first().digest for name, df in (inputs or {}).items()}
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """rows, digest: a hash of the content that doesn't depend on the order of rows."""
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
     return df.agg(F.count("*").alias("rows"), F.hex(F.coalesce(F.bit_xor(h), F.lit(0))).alias("digest"))
 
 
-def fresh(spark: SparkSession, path: str, phase: str, parameters: dict[str, str]) -> bool:
-    """Does the manifest at path fit phase, parameters and the data that is there?"""
+def fresh(spark: SparkSession, path: str, phase: str, parameters: dict[str, str], inputs: dict[str, DataFrame] | None = None) -> bool:
+    """Does the manifest at path fit phase, parameters, the inputs and the data that is there?"""
     saved, now = spark.read.parquet(f"{path}/manifest").first(), fingerprint(spark.read.parquet(f"{path}/data")).first()
-    return (saved.phase, saved.parameters, saved.rows, saved.digest) == (phase, parameters, now.rows, now.digest)
+    return (saved.phase, saved.parameters, saved.inputs, saved.rows, saved.digest) == (phase, parameters, input_digests(inputs), now.rows, now.digest)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One record a line; null fields are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_documents(df: DataFrame, keys: list[str], path: str) -> None:
+    """Nested records as JSON, a folder for each key, so that one key can be replaced or read alone."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: str, **keys) -> DataFrame:
+    """The records of the given keys; only their folders are listed. A malformed record fails the read."""
+    found = json_lines(spark, path, schema)
+    for name, value in keys.items():
+        found = found.where(F.col(name) == value)
+    return found
+
+
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """word, positive, negative of a dictionary CSV (Word, Positive, Negative: a year above 0 is a member).
+
+    Words are trimmed and in lower case; blank words and rows with an invalid year are left out, an empty year is 0, and a word
+    that occurs twice has what either row says.
+    """
+    raw = select_present(spark.read.csv(path, header=True), ["Word", "Positive", "Negative"], [])
+    year = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("0")).try_cast("int")
+    rows = raw.select(F.lower(F.trim("Word")).alias("word"), year("Positive").alias("p"), year("Negative").alias("n")).where("word != '' and p is not null and n is not null")
+    return rows.groupBy("word").agg((F.max("p") > 0).alias("positive"), (F.max("n") > 0).alias("negative")).where("positive or negative")
+
+
+def dictionary_scores(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id, positive, negative, score of every text: counts of dictionary words, and (p - n) / (p + n), null without any.
+
+    Words are counted within their text before the join; the dictionary is as large as it is, so the join is left to Spark.
+    """
+    said = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("_k"))
+    count = lambda kind: F.sum(F.when(F.col(kind), F.col("_k")).otherwise(0)).alias(kind)
+    found = said.join(words, "word").groupBy("doc_id").agg(count("positive"), count("negative"))
+    both = docs.select("doc_id").join(found, "doc_id", "left").fillna(0, ["positive", "negative"])
+    p, n = F.col("positive"), F.col("negative")
+    return both.withColumn("score", F.when(p + n > 0, (p - n) / (p + n)))
+
+
+def write_result(path: str, run: str, **tables: DataFrame) -> None:
+    """The tables of one run (metrics, equity, weights), each under its name; a rerun replaces its own run alone."""
+    for name, df in tables.items():
+        df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/{name}")
+
+
+def read_result(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One table of all runs, with the column run."""
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path that all executors and the driver see: under spark.checkpoint.dir, else in the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/eventloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, for what several jobs read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -281,8 +281,6 @@ def test_validation(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string")
     got = {r.check: (r.rows, r.violations, r.passed) for r in validation.violations(df, {"a": F.col("a") > 0, "b": F.col("b") == "x"}).collect()}
     assert got == {"a": (2, 0, True), "b": (2, 1, False)}
-    names = ["AspectTheme_Current_Other_Positive_High", "AspectTheme_Fluff_Other_Positive_High", "x", "AspectTheme_Current_Growth_Negative_Low"]
-    assert validation.aspect_columns(names)["aspect"] == {"Current": [names[0], names[3]]}
     w = column(spark, " ".join(f"w{k}" for k in range(10))).select(validation.token_windows("x", 4, 2)).first()[0]
     assert [x[0] for x in w] == ["w0", "w2", "w4", "w6"] and w[-1][-1] == "w9"
 
