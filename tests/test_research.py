@@ -3,9 +3,10 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from eventloom.operators import features, models, trades, transcripts
+from eventloom.operators import evaluation, features, models, trades, transcripts
 from eventloom.sources import files
 
 DAY = dt.date
@@ -171,3 +172,15 @@ def test_fit_windows_see_nothing_of_the_fold(spark):
     seen = [r for r in rows if r[2] is not None and r[0] < start and (r[1] is None or r[1] < start)]
     assert (got[0].rows, got[0].first, got[0].last, got[0].last_end, got[0].clean) == (len(seen), min(r[0] for r in seen), max(r[0] for r in seen), max(r[1] for r in seen if r[1]), True)
     assert (got[1].rows, got[1].first, got[1].clean) == (0, None, True)
+
+
+def test_block_bootstrap_against_numpy(spark):
+    x, block, draws, seed = [float(i * i % 17) for i in range(20)], 6, 50, 42
+    values = spark.createDataFrame([(i, v) for i, v in enumerate(x)][::-1], "m int, v double")
+    got = {r.draw: (r.mean, r.sd) for r in evaluation.block_bootstrap(values, "m", "v", block, draws, seed).collect()}
+    ks = spark.range(draws).select("id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"))
+    starts = {(r.id, r.k): r.h % 15 for r in ks.select("id", "k", F.xxhash64("id", "k", F.lit(seed)).alias("h")).collect()}
+    assert len(got) == draws
+    for d in range(draws):
+        drawn = [v for k in range(1, 5) for v in x[starts[d, k] : starts[d, k] + block]][: len(x)]
+        assert np.allclose(got[d], (np.mean(drawn), np.std(drawn)))
