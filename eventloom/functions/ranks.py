@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Parts of a group's range of values that are ranked apart.
+CELLS = 1024
+
 
 def average_rank(value: str, by: list[str]) -> Column:
     """Rank from 1 within the group, ties sharing their mean."""
@@ -13,6 +19,50 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (same - 1) / 2
 
 
+def cell_of(value: str, low: Column, high: Column, cells: int) -> Column:
+    """The one of `cells` equal parts of low .. high that holds a value: it never falls as the value grows, nulls are first and NaN is last."""
+    v = F.col(value).cast("double")
+    share = F.when(high > low, (v - low) / (high - low)).otherwise(F.lit(0.5))
+    cell = F.when(v.isNull() | (v < low), -1).when(F.isnan(v) | (v > high), cells).otherwise(F.least(F.floor(share * cells), F.lit(cells - 1)))
+    return cell.cast("int")
+
+
+def finite_ends(value: str) -> tuple[Column, Column]:
+    """Smallest and largest finite value of a group, as aggregates `_low` and `_high`."""
+    v = F.col(value).cast("double")
+    real = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    return F.min(real).alias("_low"), F.max(real).alias("_high")
+
+
+def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, rank, size: the average rank of each distinct value of a group, as average_rank gives it, and the group's rows.
+
+    For groups that hold much of the rows: values are counted first, each of CELLS parts of a group's range is ranked on its own, and
+    the rows below a part are carried in.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ends = df.groupBy(*by).agg(*finite_ends(value))
+    named = ends.select(*[F.col(k).alias(f"_by_{k}") for k in by], "_low", "_high")
+    here = reduce(and_, (counts[k].eqNullSafe(named[f"_by_{k}"]) for k in by))
+    low, high = (F.coalesce(c, F.lit(0.0)) for c in ("_low", "_high"))
+    placed = counts.join(named, here).withColumn("_cell", cell_of(value, low, high, CELLS)).select(*by, value, "_n", "_cell")
+    parts, group = placed.groupBy(*by, "_cell").agg(F.sum("_n").alias("_in")), W.partitionBy(*by)
+    below = F.sum("_in").over(group.orderBy("_cell")) - F.col("_in")
+    parts = parts.withColumns({"_below": below, "size": F.sum("_in").over(group)})
+    parts = parts.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("_cell").alias("_at"), "_below", "size")
+    inner = W.partitionBy(*by, "_cell").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = placed.withColumn("_upto", F.sum("_n").over(inner))
+    here = reduce(and_, (upto[k].eqNullSafe(parts[f"_by_{k}"]) for k in by)) & (upto["_cell"] == parts["_at"])
+    return upto.join(parts, here).select(*by, value, (F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"), "size")
+
+
+def with_rank(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """df with `rank` and `size`, see value_ranks."""
+    ranks = value_ranks(df, value, by).select(*[F.col(k).alias(f"_r_{k}") for k in [*by, value]], "rank", "size")
+    here = reduce(and_, (df[k].eqNullSafe(ranks[f"_r_{k}"]) for k in [*by, value]))
+    return df.join(ranks, here).select(*df.columns, "rank", "size")
+
+
 def rank_correlation(df: DataFrame, a: str, b: str, by: list[str], least: int = 2) -> DataFrame:
     """by, n, ic: Spearman correlation of complete pairs; null for constant input; groups under `least` pairs are left out."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranks import newey_west, rank_correlation
+from ..functions.ranks import newey_west, rank_correlation, with_rank
 
 
 def latest_per_ticker(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -125,10 +125,12 @@ def classification_report(df: DataFrame, label: str, pred: str, by: list[str]) -
     return c.select(*by, "tp", "fp", "fn", "tn", ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), f1.alias("f1"), ((f1 + f0) / 2).alias("macro_f1"))
 
 
-def rank_ensemble(df: DataFrame, models: list[str]) -> Column:
-    """Mean over the models of ranks scaled to 0 .. 1 (all rows are one group; ranks are by value counts, see caller)."""
-    n = F.count("*").over(W.partitionBy())
-    return sum(((F.rank().over(W.orderBy(m)) + (F.count("*").over(W.partitionBy(m)) - 1) / 2 - 1) / (n - 1) for m in models), F.lit(0.0)) / len(models)
+def rank_ensemble(df: DataFrame, models: list[str]) -> DataFrame:
+    """df with `score`: the mean over the models of ranks scaled to 0 .. 1, all rows being one group; null for a single row."""
+    names, out = df.columns, df.withColumn("_all", F.lit(0))
+    for m in models:
+        out = with_rank(out, m, ["_all"]).withColumn(f"_share_{m}", (F.col("rank") - 1) / F.nullif(F.col("size") - 1, F.lit(0))).drop("rank", "size")
+    return out.select(*names, (sum((F.col(f"_share_{m}") for m in models), F.lit(0.0)) / len(models)).alias("score"))
 
 
 def block_bootstrap(values: DataFrame, order: str, value: str, block: int, draws: int, seed: int) -> DataFrame:

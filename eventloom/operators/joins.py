@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import business_days_between
+from ..functions.ranks import cell_of, finite_ends
 
-#: 2^17 days from 1900 are enough for any date.
-LEVELS = 17
+#: Parts of the range of all values that are summed apart in a block of 2^CUT_LEVEL days or more.
+VALUE_CELLS, CUT_LEVEL = 128, 6
 
 
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,20 +83,33 @@ def strict_past_percentile(rows: DataFrame, key: str, value: str, at: str, known
     """rows with `pct`: share of the group's values known (known_at) strictly before the row's day (at) that are at or below its own.
 
     Null without such values. key is unique. No pair of rows is formed: days are numbered and every day belongs to one block of
-    2^k days on each of LEVELS levels; the days before a row's are at most one block on each level (as in a binary indexed tree), and in a
-    block the values at or below are a running sum.
+    2^k days on each level; the days before a row's are at most one block on each level (as in a binary indexed tree), and in a
+    block the values at or below are a running sum. A large block holds half of its group, so blocks of CUT_LEVEL or more are cut into
+    VALUE_CELLS parts by value, and the values below a part are carried in.
     """
     day = lambda c: F.datediff(F.col(c), F.lit("1900-01-01").cast("date"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_k")
     real = rows.where(F.col(value).isNotNull())
-    adds = real.where(F.col(known_at).isNotNull()).select(*by, F.col(value).alias("_v"), day(known_at).alias("_d"), levels)
-    adds = adds.withColumn("_block", F.expr("shiftright(_d, _k)")).where("_block % 2 = 0").groupBy(*by, "_k", "_block", "_v").agg(F.count("*").alias("_n"))
-    asks = real.where(F.col(at).isNotNull()).select(F.col(key).alias("_key"), *by, F.col(value).alias("_v"), day(at).alias("_d"), levels)
-    asks = asks.withColumn("_block", F.expr("shiftright(_d, _k)")).where("_block % 2 = 1").withColumn("_block", F.col("_block") - 1).drop("_d")
+    first, last, low, high = real.agg(F.min(day(known_at)), F.max(day(known_at)), *finite_ends(value)).first()
+    if first is None:
+        return rows.withColumn("pct", F.lit(None).cast("double"))
+    # days count from the first known one; no row asks for more than all of them
+    days = F.explode(F.sequence(F.lit(0), F.lit((last - first + 1).bit_length() - 1))).alias("_k")
+    cut = {"_block": F.expr("shiftright(_d, _k)"), "_cell": F.when(F.col("_k") >= CUT_LEVEL, F.col("_cell")).otherwise(F.lit(0))}
+    cell = cell_of(value, F.lit(low or 0.0), F.lit(high or 0.0), VALUE_CELLS)
+    placed = real.select(F.col(key).alias("_key"), *by, F.col(value).alias("_v"), cell.alias("_cell"), day(at).alias("_at"), day(known_at).alias("_known"))
+    adds = placed.where("_known is not null").select(*by, "_v", "_cell", (F.col("_known") - first).alias("_d"), days)
+    adds = adds.withColumns(cut).where("_block % 2 = 0").groupBy(*by, "_k", "_block", "_cell", "_v").agg(F.count("*").alias("_n"))
+    asks = placed.where(F.col("_at") > first).select("_key", *by, "_v", "_cell", (F.least("_at", F.lit(last + 1)) - first).alias("_d"), days)
+    asks = asks.withColumns(cut).where("_block % 2 = 1").withColumn("_block", F.col("_block") - 1).drop("_d")
     both = asks.withColumn("_n", F.lit(0).cast("long")).unionByName(adds, allowMissingColumns=True)
-    block = W.partitionBy(*by, "_k", "_block")
-    counted = both.withColumns({"_below": F.sum("_n").over(block.orderBy("_v").rangeBetween(W.unboundedPreceding, W.currentRow)), "_all": F.sum("_n").over(block)})
-    sums = counted.where("_key is not null").groupBy("_key").agg(F.sum("_below").alias("_b"), F.sum("_all").alias("_a"))
+    whole = W.partitionBy(*by, "_k", "_block")
+    parts = both.groupBy(*by, "_k", "_block", "_cell").agg(F.sum("_n").alias("_in"))
+    parts = parts.withColumns({"_under": F.sum("_in").over(whole.orderBy("_cell")) - F.col("_in"), "_all": F.sum("_in").over(whole)})
+    parts = parts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_k").alias("_pk"), F.col("_block").alias("_pb"), F.col("_cell").alias("_pc"), "_under", "_all")
+    inner = W.partitionBy(*by, "_k", "_block", "_cell").orderBy("_v").rangeBetween(W.unboundedPreceding, W.currentRow)
+    counted = both.withColumn("_upto", F.sum("_n").over(inner)).where("_key is not null")
+    here = reduce(and_, (counted[c].eqNullSafe(parts[f"_by_{c}"]) for c in by)) & (counted["_k"] == parts["_pk"]) & (counted["_block"] == parts["_pb"]) & (counted["_cell"] == parts["_pc"])
+    sums = counted.join(parts, here).groupBy("_key").agg(F.sum(F.col("_upto") + F.col("_under")).alias("_b"), F.sum("_all").alias("_a"))
     joined = rows.join(sums, rows[key] == sums["_key"], "left")
     return joined.select(*[rows[c] for c in rows.columns], F.when(F.col("_a") > 0, F.col("_b") / F.col("_a")).alias("pct"))
 

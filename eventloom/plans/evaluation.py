@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranks import average_rank, return_stats
+from ..functions.ranks import return_stats
 from ..operators import evaluation as E
 from ..operators import series as S
 from ..sources import views as V
@@ -205,15 +205,7 @@ def g27_classification_report(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, round((ra / (n - 1) + rb / (n - 1)) / 2, {R}) AS score FROM k""")
 def g29_l09_rank_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     m = scored(spark, sf).withColumn("b", F.col("doc_id") * 53 % 97)
-    # ranks by value counts: the window runs over distinct values, not over rows
-    n = m.count()
-    out = m
-    for c in ("p", "b"):
-        counts = m.groupBy(c).agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(c, ((before + (F.col("_n") - 1) / 2) / (n - 1)).alias(f"_r{c}"))
-        out = out.join(ranks, c)
-    return out.select("doc_id", F.round((F.col("_rp") + F.col("_rb")) / 2, R).alias("score"))
+    return E.rank_ensemble(m, ["p", "b"]).select("doc_id", F.round("score", R).alias("score"))
 
 
 @query("""WITH j AS (SELECT doc_id, quality AS a, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS b, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN toxic ELSE quality END AS c FROM labels)

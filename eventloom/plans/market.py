@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from ..functions.ranks import average_rank
+from ..functions.ranks import with_rank
 from ..operators import joins as J
 from ..operators import series as S
 from ..sources import views as V
@@ -144,7 +144,7 @@ def w12_keep_last_and_best(spark: SparkSession, sf: str) -> DataFrame:
 (SELECT signal_id, signal_type, floor(score / 1000) * 1000 AS score FROM signals)""")
 def w13_average_rank(spark: SparkSession, sf: str) -> DataFrame:
     s = V.signals(spark, sf).withColumn("v", F.floor(F.col("score") / 1000))
-    return s.select("signal_id", average_rank("v", ["signal_type"]).cast("double").alias("avg_rank"))
+    return with_rank(s, "v", ["signal_type"]).select("signal_id", F.col("rank").cast("double").alias("avg_rank"))
 
 
 @query(f"""WITH {PRICES}, {CALENDAR}, g AS (SELECT t.ticker, c.date FROM (SELECT DISTINCT ticker FROM prices) t, calendar c)

@@ -290,3 +290,33 @@ def test_search_prefers_the_weaker_penalty(spark):
     df = spark.createDataFrame(rows, "i long, d date, e date, a double, y double")
     best, means = models.search(df, [("2020-06-01", "2020-08-01"), ("2020-08-01", "2020-10-01")], "d", "e", ["a"], "y", "lasso", [{"regParam": 1e6}, {"regParam": 0.01}])
     assert best == {"regParam": 0.01} and means[0] is None and means[1] > 0.99
+
+
+def test_value_ranks_match_average_ranks(spark):
+    from eventloom.functions import ranks
+
+    inf, nan = float("inf"), float("nan")
+    values = [None, nan, inf, -inf, 0.0, 1e300, -1e300, 3.5, 3.5, 3.5, None, nan, 7.0, 7.0]
+    rows = [(k, "a" if k % 3 else None, v) for k, v in enumerate(values * 3)] + [(100 + k, "b", float(k * k % 17)) for k in range(40)] + [(200, "c", inf)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(5)
+    want = {r.id: r.r for r in df.select("id", ranks.average_rank("v", ["g"]).cast("double").alias("r")).collect()}
+    got = ranks.with_rank(df, "v", ["g"]).collect()
+    assert {r.id: r["rank"] for r in got} == want and len(got) == len(rows)
+    assert {r["size"] for r in got if r.g == "b"} == {40}
+    assert ranks.with_rank(df.where("id < 0"), "v", ["g"]).count() == 0
+
+
+def test_strict_past_percentile_brute_force(spark):
+    import datetime
+    import random
+
+    rng, day = random.Random(5), datetime.date(2020, 1, 1)
+    dates = [None] + [day + datetime.timedelta(k) for k in (0, 1, 2, 3, 40, 64, 65, 128, 300, 700, 701)]
+    values = [None, float("inf"), float("-inf"), *map(float, range(-4, 9))]
+    rows = [(k, rng.choice(["a", "a", "b", None]), rng.choice(values), rng.choice(dates), rng.choice(dates)) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, v double, at date, known date").repartition(3)
+    for r in joins.strict_past_percentile(df, "id", "v", "at", "known", ["g"]).collect():
+        past = [v for _, g, v, _, known in rows if g == r.g and v is not None and known is not None and r.at is not None and known < r.at]
+        want = sum(v <= r.v for v in past) / len(past) if past and r.v is not None else None
+        assert r.pct == want
+    assert joins.strict_past_percentile(df.where("known is null"), "id", "v", "at", "known", ["g"]).where("pct is not null").count() == 0
