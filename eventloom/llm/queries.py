@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, divergence, extract, importance, mixing, neardup, quality, tokens, toxicity, urlgraph, warc
+from . import chat, decontam, divergence, extract, importance, jaccard, mixing, neardup, quality, tokens, toxicity, urlgraph, warc
 from .common import table
 
 #: Path of a public tokenizer's vocabulary file; a parameter of op8.
@@ -68,13 +68,18 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_warc_records, op2_role_repair, op3_compression_bands, op4_main_text, op5_url_verdicts, op6_ftrl_toxicity,
         op7_weighted_minhash, op8_token_counts, op9_decontaminate, op10_mix_sources, op11_importance_resample, op12_source_divergence,
+        op13_jaccard_join,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_records": warc.ORACLE, "op10_mix_sources": mixing.ORACLE, "op11_importance_resample": importance.ORACLE, "op12_source_divergence": divergence.ORACLE}
+    return {"op1_warc_records": warc.ORACLE, "op10_mix_sources": mixing.ORACLE, "op11_importance_resample": importance.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_jaccard_join": jaccard.ORACLE}
