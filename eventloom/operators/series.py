@@ -109,8 +109,8 @@ def look_ahead(df: DataFrame, n: int) -> Column:
     return F.coalesce(F.max(F.col("close").isNotNull()).over(W.partitionBy("ticker").orderBy("pos").rowsBetween(1, n)), F.lit(False))
 
 
-def gap_states(bars: DataFrame) -> DataFrame:
-    """Daily profit of held positions through gaps; bars: ticker, interval (from one rebalance to the next), date, weight, price.
+def gap_states(bars: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Daily profit of held positions through gaps; bars: ticker, interval (from one rebalance to the next), date, weight, price, and carry, kept as it is.
 
     A price after at most two missing days pays weight * (price / last price - 1); missing days pay nothing and are
     counted; the third in a row censors the position until the interval ends. The first price only sets the state. Expressed
@@ -128,5 +128,5 @@ def gap_states(bars: DataFrame) -> DataFrame:
     return seen.select(
         "ticker", "interval", "date", "weight", "price", "censored",
         F.when(live & F.col("price").isNotNull(), F.col("weight") * (F.col("price") / F.col("_last") - 1)).otherwise(F.lit(0.0)).alias("pnl"),
-        F.when(live & F.col("price").isNull(), F.col("_streak")).otherwise(F.lit(0)).cast("int").alias("gap_days"),
+        F.when(live & F.col("price").isNull(), F.col("_streak")).otherwise(F.lit(0)).cast("int").alias("gap_days"), *carry,
     )

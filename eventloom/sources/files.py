@@ -99,9 +99,13 @@ def input_digests(inputs: dict[str, DataFrame] | None) -> dict[str, str]:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """rows, digest: a hash of the content that doesn't depend on the order of rows."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("rows"), F.hex(F.coalesce(F.bit_xor(h), F.lit(0))).alias("digest"))
+    """rows, digest: a hash of the content that doesn't depend on the order of rows.
+
+    Each value is hashed with its column and with whether it is null; two sums of the rows' hashes, so that equal rows add up.
+    """
+    h = F.xxhash64(*[F.xxhash64(F.lit(c), F.col(c).isNull(), F.col(c)) for c in sorted(df.columns)])
+    total = lambda x: F.coalesce(F.sum(x.cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return df.agg(F.count("*").alias("rows"), F.concat_ws(":", total(h), total(F.xxhash64(h, F.lit("again")))).alias("digest"))
 
 
 def fresh(spark: SparkSession, path: str, phase: str, parameters: dict[str, str], inputs: dict[str, DataFrame] | None = None) -> bool:
