@@ -64,12 +64,21 @@ def with_rank(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def rank_correlation(df: DataFrame, a: str, b: str, by: list[str], least: int = 2) -> DataFrame:
-    """by, n, ic: Spearman correlation of complete pairs; null for constant input; groups under `least` pairs are left out."""
+    """by, n, ic: Spearman correlation of complete pairs; null for constant input; groups under `least` pairs are left out.
+
+    Doubled ranks are whole numbers, so the sums are exact and a correlation of zero is zero: its sign can be relied on.
+    """
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = pairs.withColumns({"_ra": average_rank(a, by), "_rb": average_rank(b, by)})
-    # corr() divides by the deviations, which are zero for constant input
-    spread = F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), (F.covar_pop("_ra", "_rb") / spread).alias("ic")).where(F.col("n") >= least)
+    twice = lambda c: (2 * average_rank(c, by)).cast("long")
+    ranked = pairs.select(*by, twice(a).alias("_a"), twice(b).alias("_b"))
+    total = lambda x: F.sum(x.cast("decimal(20,0)")).cast("decimal(38,0)")
+    sums = ranked.groupBy(*by).agg(
+        F.count("*").alias("n"), total(F.col("_a")).alias("_sa"), total(F.col("_b")).alias("_sb"), total(F.col("_a") * F.col("_b")).alias("_sab"),
+        total(F.col("_a") * F.col("_a")).alias("_saa"), total(F.col("_b") * F.col("_b")).alias("_sbb"),
+    )
+    covered = lambda xy, x, y: F.expr(f"cast(n as decimal(20,0)) * {xy} - {x} * {y}").cast("double")
+    spread = F.sqrt(covered("_saa", "_sa", "_sa") * covered("_sbb", "_sb", "_sb"))
+    return sums.where(F.col("n") >= least).select(*by, "n", (covered("_sab", "_sa", "_sb") / F.nullif(spread, F.lit(0.0))).alias("ic"))
 
 
 def newey_west(ordered: Column, lag: int) -> Column:

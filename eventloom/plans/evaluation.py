@@ -35,9 +35,13 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return latest.join(nxt, ["ticker", "month"]).select("month", "ticker", "score", "sector", "id", "ret")
 
 
-RANKED = """rk AS (SELECT month, ret, rank() OVER (PARTITION BY month ORDER BY score) + (count(*) OVER (PARTITION BY month, score) - 1) / 2.0 AS a,
+#: Spearman correlation of the ranks a and b over whole numbers, so that its sign is exact.
+_DOUBLED = {"n": "count(*)::HUGEINT", "a": "sum((2 * a)::BIGINT)", "b": "sum((2 * b)::BIGINT)", "ab": "sum((2 * a)::BIGINT * (2 * b)::BIGINT)", "aa": "sum((2 * a)::BIGINT * (2 * a)::BIGINT)", "bb": "sum((2 * b)::BIGINT * (2 * b)::BIGINT)"}
+IC = "({n} * {ab} - {a} * {b})::DOUBLE / nullif(sqrt(({n} * {aa} - {a} * {a})::DOUBLE * ({n} * {bb} - {b} * {b})::DOUBLE), 0)".format(**_DOUBLED)
+
+RANKED = f"""rk AS (SELECT month, ret, rank() OVER (PARTITION BY month ORDER BY score) + (count(*) OVER (PARTITION BY month, score) - 1) / 2.0 AS a,
 rank() OVER (PARTITION BY month ORDER BY ret) + (count(*) OVER (PARTITION BY month, ret) - 1) / 2.0 AS b FROM panel WHERE ret IS NOT NULL),
-ic AS (SELECT month, count(*) AS n, CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END AS ic FROM rk GROUP BY month HAVING count(*) >= 6)"""
+ic AS (SELECT month, count(*) AS n, {IC} AS ic FROM rk GROUP BY month HAVING count(*) >= 6)"""
 
 
 @query(f"{BASE}, {RANKED} SELECT month, n, round(ic, {R}) + 0.0 AS ic FROM ic")

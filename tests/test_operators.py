@@ -69,6 +69,12 @@ def test_rank_correlation(spark):
     assert [round(got[g], 9) for g in ("up", "down", "gap")] == [1, -1, -1]
 
 
+def test_a_rank_correlation_of_zero_is_zero(spark):
+    rows = [("zero", a, b) for a, b in zip((0.1, 0.2, 0.3, 0.4), (0.2, 0.4, 0.1, 0.3), strict=True)] + [("tied", a, b) for a, b in zip((1.0, 1.0, 2.0, 2.0), (0.1, 0.7, 0.1, 0.7), strict=True)]
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(3)
+    assert [r.ic for r in rank_correlation(df, "a", "b", ["g"]).collect()] == [0.0, 0.0]
+
+
 @pytest.mark.parametrize("forward", [False, True])
 @pytest.mark.parametrize("strict", [False, True])
 def test_asof_by_search(spark, forward, strict):
