@@ -4,14 +4,15 @@
    the same result; this one puts passages that much of the corpus shares last.
 2. A map over the texts gives each its set's size, a fingerprint and its prefix: two sets that link share one of their first n - ceil(0.8 n) + 1 shingles.
    Equal sets are one unit; units of equal prefix and size are one group, so a prefix is posted once for a group.
-3. Prefix shingles that more than one group has make the lists. Groups in a list are paired if their sizes and the places of the shingle allow
-   the threshold: first with a neighbour by size, then with pivots of lists that still hold several components, the partner with most lists each.
-4. The exact end takes all group pairs of different components in a list; pairs that share too few prefix shingles for the threshold go (the set whose prefix
-   ends first has all its matches up to there among them). Pairs within a group are taken likewise.
-5. Group pairs are expanded to their units, and each pair of units is verified: intersection of the whole sets.
+3. Prefix shingles that more than one group has make the lists. Each group is paired with the one it shares most with among a few pivots of its lists; these
+   pairs, and those of the units of a group with its first, are verified on the whole sets and give components (large-star, small-star).
+4. The exact end compares all groups that share a list and aren't in one component. Those outside a list's largest component are few; they are gathered in blocks by the
+   longest list they are in, and meet what shares a list with them. A first pass over the prefixes alone keeps those with a partner whose sizes and shared shingles allow
+   the threshold: nothing more is shared up to the last shared one, nor up to the end of the prefix that ends first.
+5. What is kept is expanded to the groups' units, whose whole sets are compared block by block.
 
-Links inside a component change nothing, so pairs of units already connected are never made: copies and large families cost their size, not its square.
-What is left for the end is pairs of different components that share a prefix shingle; the join is by shingle and AQE splits a hot one.
+Links inside a component change nothing, so copies and large families cost their size, not its square. Blocks and slices are of bounded size; a list that is itself long (see
+HEAVY) is never sorted in one task.
 
 Words are runs of bytes outside white space; only A-Z are lower-cased. Shingles are 54-bit hashes, 48 bits where sets are compared: two sets of 600
 shingles have a false match with probability 1e-9.
@@ -28,16 +29,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Runs, blocks, byte_set, mix, neighbours, small_batches, stage, utf8
+from .common import ASCII_SPACE, Runs, blocks, byte_set, mix, partitions, small_batches, stage, utf8
 from .neardup import components, raised, rooted, sized_broadcast
 
 SHINGLE, PERCENT = 5, 80
 #: Hash buckets whose counts order the shingles: 2 ** 18 numbers on the driver, whatever the input.
 BUCKET_BITS = 18
-#: Pivot turns before the exact end.
-TURNS = 2
+#: Pivots of a list before the exact end.
+PIVOTS = 3
+#: In the exact end, rows of a block, and rows that it meets in one task's group.
+BLOCK, SLICE = 256, 1024
+#: A shingle whose bucket counts more than so many times the mean bucket, and so many more, has HEAVY in its name: its list may hold much of the rows.
+HEAVY_MEANS, HEAVY_LEAST, HEAVY = 4, 4096, np.uint64(1 << 62)
 #: Bits of the map that tells which texts' sets are wanted: 2 MB, whatever the input; a full map only filters less.
 MAP_BITS = 24
 _ROWS, _BITS = 1024, 54
@@ -134,16 +140,18 @@ def prefix_size(n):
 
 
 def _sign(batches: Iterator[pa.RecordBatch], count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    heavy = HEAVY_MEANS * int(count.mean()) + HEAVY_LEAST
     for block, sets in _sets(batches):
         # tokens are sorted within a row, so a stable sort by the bucket's count leaves ties in the order of tokens
         order = np.argsort((sets.row << 44) | np.minimum(count[sets.bucket()], (1 << 44) - 1), kind="stable")
         keep = np.where(sets.size > 0, prefix_size(sets.size), 0)
         place = np.arange(len(order)) - np.repeat(sets.cut[:-1], sets.size)
-        prefix = sets.token[order[place < np.repeat(keep, sets.size)]]
+        first = order[place < np.repeat(keep, sets.size)]
+        prefix = sets.token[first]
         offsets = np.concatenate([[0], np.cumsum(keep)])
         columns = [
             block.column("doc_id"), block.column("key"), pa.array(sets.size.astype(np.int64)), pa.array(sets.digests(sets.token, sets.size), pa.binary()),
-            pa.array(sets.digests(prefix, keep), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(prefix.view(np.int64))),
+            pa.array(sets.digests(prefix, keep), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((prefix | np.where(count[sets.bucket()[first]] > heavy, HEAVY, np.uint64(0))).view(np.int64))),
         ]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "fp", "group_fp", "prefix"])
 
@@ -205,34 +213,135 @@ def verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return two.select("a", "b", "va", "vb").mapInArrow(_verify, "a long, b long")
 
 
-#: Least intersection of linked sets of na and nb shingles; sizes that may link; places of a common shingle that may.
+class Index:
+    """The tokens of a few rows, sorted, to compare another row with all of them at once."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.size = np.array([len(r) for r in rows])
+        name = np.concatenate(rows)
+        self.order = np.argsort(name, kind="stable")
+        self.row = np.repeat(np.arange(len(rows)), self.size)[self.order]
+        self.name, first = np.unique(name[self.order], return_index=True)
+        self.first = np.append(first, len(name))
+
+    def hits(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the sorted tokens, place in those asked for) of each match."""
+        at = np.minimum(np.searchsorted(self.name, tokens), len(self.name) - 1)
+        hit = np.flatnonzero(self.name[at] == tokens)
+        first = self.first[at[hit]]
+        n = self.first[at[hit] + 1] - first
+        return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n), np.repeat(hit, n)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, bool, tuple]]:
+    """(key, is it of side 0, the columns' values) of sorted rows."""
+    for batch in batches:
+        for key, side, *values in zip(*(batch.column(c).to_pylist() for c in ("key", "side", *columns)), strict=True):
+            yield key, side == 0, tuple(values)
+
+
+def _promise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, side, gid, root) of the rows of a key that share enough with one of its other side and another component to link (see SHARED)."""
+    names = ["key", "side", "gid", "root"]
+    now, own, index, out = None, [], None, []
+
+    def ended():
+        found = [(now, 0, *own[k][:2]) for k in np.flatnonzero(hot)] if index else []
+        return found + out
+
+    def batch(rows):
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names)
+
+    for key, first, (gid, root, n, tokens, pos) in _groups(batches, ["gid", "root", "n", "tokens", "pos"]):
+        if key != now:
+            if now is not None:
+                yield batch(ended())
+            now, own, index, out = key, [], None, []
+        if first:
+            own.append((gid, root, n, np.array(tokens), np.array(pos)))
+            continue
+        if not own:
+            continue
+        if index is None:
+            index, hot = Index([r[3] for r in own]), np.zeros(len(own), bool)
+            place = np.concatenate([r[4] for r in own])[index.order]
+            ids, roots, sizes = (np.array([r[k] for r in own]) for k in (0, 1, 2))
+        at, asked = index.hits(np.array(tokens))
+        row = index.row[at]
+        shared = np.bincount(row, minlength=len(own))
+        last_a, last_b = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        np.maximum.at(last_a, row, place[at])
+        np.maximum.at(last_b, row, np.array(pos)[asked])
+        need = (PERCENT * (sizes + n) + 99 + PERCENT) // (100 + PERCENT)
+        most = shared + np.minimum(np.minimum(sizes - last_a, n - last_b) - 1, (PERCENT * np.maximum(sizes, n) + 99) // 100 - 1)
+        ok = (shared > 0) & (roots != root) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)) & (most >= need) & (ids != gid)
+        if ok.any():
+            hot |= ok
+            out.append((key, 1, gid, root))
+    if now is not None:
+        yield batch(ended())
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of components, from sorted groups of rows: the units of a block (side 0), then those that they meet."""
+    now, own, index, seen = None, [], None, set()
+    for key, first, (root, vec) in _groups(batches, ["root", "vec"]):
+        if key != now:
+            now, own, index, seen = key, [], None, set()
+        if first:
+            own.append((root, _read(vec)))
+            continue
+        if not own:
+            continue
+        index = index or Index([v for _, v in own])
+        tokens = _read(vec)
+        both = np.bincount(index.row[index.hits(tokens)[0]], minlength=len(own))
+        new = {(min(root, own[k][0]), max(root, own[k][0])) for k in np.flatnonzero(100 * both >= PERCENT * (index.size + len(tokens) - both)).tolist() if own[k][0] != root} - seen
+        if new:
+            seen |= new
+            a, b = zip(*new, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+#: Least intersection of linked sets of na and nb shingles, and sizes that may link.
 NEED = f"({PERCENT} * (na + nb) + {99 + PERCENT}) div {100 + PERCENT}"
 SIZES = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
-PLACES = f"least(pa, pb) + 1 + least(na - pa - 1, nb - pb - 1) >= {NEED}"
-#: Shared shingles of two whole prefixes, with all that follows the prefix that ends first, must reach the least intersection.
-SHARED = f"shared + greatest({PERCENT} * na + 99, {PERCENT} * nb + 99) div 100 - 1 >= {NEED}"
+#: What two sets may share if they share a shingle: no more up to it than either has in lists, and what follows it.
+PLACES = f"least(sa, sb) + least(na - pa - 1, nb - pb - 1) >= {NEED}"
+#: And if they share so many: nothing more up to the last of them, nor up to the end of the prefix that ends first.
+SHARED = f"shared + least(na - last_a - 1, nb - last_b - 1, greatest({PERCENT} * na + 99, {PERCENT} * nb + 99) div 100 - 1) >= {NEED}"
 
 
 def lists_of(groups: DataFrame) -> DataFrame:
-    """(token, gid, n, pos) of the prefix shingles that more than one group has; staged."""
-    posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = stage(posted.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token"), "tokens")
-    return stage(posted.join(shared, "token").select("token", "gid", "n", "pos"), "lists")
+    """(token, gid, n, pos, seq) of the prefix shingles that more than one group has; seq: place among those of its group, from 1. Staged.
+
+    Shingles are counted where they are sorted; heavy ones stay without a count, as their lists are too long to be sorted in one task.
+    """
+    posted = groups.select("gid", F.posexplode("prefix").alias("pos", "token"))
+    light, heavy = posted.where(F.col("token") < int(HEAVY)), posted.where(F.col("token") >= int(HEAVY))
+    several = light.withColumn("held", F.count("*").over(W.partitionBy("token"))).where("held > 1").drop("held").unionByName(heavy)
+    shared = stage(several, "shared")
+    return stage(shared.join(groups.select("gid", "n"), "gid").withColumn("seq", F.row_number().over(W.partitionBy("gid").orderBy("pos"))), "lists")
+
 
+def _side(name: str, row: str = "") -> list:
+    """Columns of a list's row as one side of a pair."""
+    return [F.col(f"{row}{c}").alias(n) for c, n in (("gid", name), ("n", f"n{name}"), ("pos", f"p{name}"), ("seq", f"s{name}"))]
 
-def best(pairs: DataFrame) -> DataFrame:
-    """For each group the partner that it meets in most lists, as pairs (a, b)."""
-    met = pairs.where(f"{SIZES} and {PLACES}").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("lists"))
-    sides = F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("other")), F.struct(F.col("b").alias("g"), F.col("a").alias("other"))))
-    top = met.select("lists", sides.alias("at")).groupBy("at.g").agg(F.max(F.struct("lists", "at.other")).alias("top"))
-    return top.select(F.least("g", "top.other").alias("a"), F.greatest("g", "top.other").alias("b")).distinct()
 
+def pivoted(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b): each group with the one it shares most with among the first groups of its lists by PIVOTS hashes.
 
-def adjacent(lists: DataFrame) -> DataFrame:
-    """Groups next to each other in a list sorted by size."""
-    rows = neighbours(lists, ["token", "n", "gid"], ["token", "gid", "n", "pos"], after=False).where("token = before.token")
-    own = [F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")]
-    return best(rows.select(*own, F.col("before.gid").alias("b"), F.col("before.n").alias("nb"), F.col("before.pos").alias("pb")))
+    A hash picks the same group in all lists of a family, so what two share is counted nearly in full; what is missed is left to the exact end.
+    """
+    one = lambda k: F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("order"), "gid", "n", "pos", "seq"))
+    first = lists.groupBy("token").agg(F.array(*[one(k) for k in range(PIVOTS)]).alias("pivots"))
+    first = stage(first.select("token", F.explode(F.array_distinct(F.transform("pivots", lambda p: p.dropFields("order")))).alias("pivot")), "pivots")
+    met = lists.join(first, "token").select(*_side("a"), *_side("b", "pivot.")).where(f"a != b and {SIZES} and {PLACES}")
+    both = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("pa").alias("last_a"), F.max("pb").alias("last_b")).where(SHARED)
+    top = both.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("top"))
+    return top.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct()
 
 
 def mixed(lists: DataFrame, held: DataFrame) -> DataFrame:
@@ -242,56 +351,70 @@ def mixed(lists: DataFrame, held: DataFrame) -> DataFrame:
     return at.join(several, "token")
 
 
-def pivoted(lists: DataFrame, turn: int) -> DataFrame:
-    """Groups with the first and last group of their list by a hash, of other components."""
-    one = F.struct(F.xxhash64("gid", F.lit(turn)).alias("order"), F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    pivots = stage(lists.groupBy("token").agg(F.array(F.min(one), F.max(one)).alias("pivots")), "pivots")
-    own = [F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra")]
-    rows = lists.join(pivots, "token").select(*own, F.explode("pivots").alias("pivot")).select("a", "na", "pa", "ra", "pivot.*")
-    return best(rows.where("ra != rb and a != b"))
+def meetings(left: DataFrame) -> DataFrame:
+    """(key, side, gid, root): blocks of at most BLOCK rows (side 0) with slices of all the rows that they meet in a list (side 1).
 
+    In each list the groups outside its largest component are few; they meet all of it. Each of the few belongs to one block, that of the longest list
+    it is among the few of, so a family is a few blocks, however many lists it shares.
+    """
+    held = left.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("length"), F.max_by("root", F.struct("n", "root")).alias("most"))
+    few = stage(left.select("token", "gid", "root").join(stage(held, "lengths"), "token").where("root != most").select("token", "gid", "root", "length"), "few")
+    home = few.groupBy("gid", "root").agg(F.max(F.struct("length", "token")).alias("home"))
+    size = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.xxhash64("home.token", F.pmod(F.xxhash64("gid", "root"), "blocks"))
+    homes = stage(home.join(size, "home").select("gid", "root", block.alias("block")), "homes")
+    meets = few.join(homes, ["gid", "root"]).select("token", "block").distinct()
+    met = stage(left.select("token", "gid", "root").join(meets, "token").select("gid", "root", "block").distinct(), "met")
+    slices = stage(met.groupBy("block").agg(F.ceil(F.count("*") / SLICE).alias("slices")), "slices")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")
+    here = homes.join(slices, "block").select("block", every, F.lit(0).alias("side"), "gid", "root")
+    there = met.join(slices, "block").select("block", F.pmod(F.xxhash64("gid"), "slices").alias("slice"), F.lit(1).alias("side"), "gid", "root")
+    return here.unionByName(there).select(F.xxhash64("block", "slice").alias("key"), "side", "gid", "root")
 
-def remaining(lists: DataFrame) -> DataFrame:
-    """(a, ra, b, rb): all group pairs of different components in a list whose sizes, places and shared prefixes allow a link."""
-    a, b = (lists.select("token", *[F.col(c).alias(f"{c[0]}{s}") for c in ("gid", "root", "n", "pos")]) for s in "ab")
-    met = a.join(b, "token").where(f"ga < gb and ra != rb and {SIZES} and {PLACES}")
-    shared = met.groupBy("ga", "ra", "gb", "rb", "na", "nb").agg(F.count("*").alias("shared")).where(SHARED)
-    return shared.select(F.col("ga").alias("a"), "ra", F.col("gb").alias("b"), "rb")
+
+def by_key(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "side")
+
+
+def remaining(left: DataFrame) -> DataFrame:
+    """(key, side, gid, root): the meetings that may bring a link, by what the prefixes share; staged."""
+    row = F.array_sort(F.collect_list(F.struct("token", "pos")))  # as many as a prefix has shingles
+    prefix = left.groupBy("gid", "root", "n").agg(row.alias("row")).select("gid", "root", "n", F.col("row.token").alias("tokens"), F.col("row.pos").alias("pos"))
+    rows = by_key(meetings(left).join(prefix, ["gid", "root"]).select("key", "side", "gid", "root", "n", "tokens", "pos"))
+    return stage(rows.mapInArrow(_promise, "key long, side int, gid long, root long"), "promising")
 
 
 def linked(rows: DataFrame, units: DataFrame, groups: DataFrame) -> DataFrame:
     """(node, root) of the units that have a link."""
+
+    def vectors_for(named: DataFrame) -> DataFrame:
+        return vectors_of(rows, stage(units.join(named.distinct(), "unit").select("unit", "key"), "wanted"))
+
+    def both(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("unit")).union(pairs.select("b"))
+
     lists = lists_of(groups)
     heads = stage(units.groupBy("gid").agg(F.min("unit").alias("head"), F.count("*").alias("held")), "heads")
-    several = heads.where("held > 1").select("gid")
-    wanted = stage(units.join(several.union(lists.select("gid")).distinct(), "gid").select("unit", "key"), "wanted")
-    vectors = vectors_of(rows, wanted)
-    inside = units.join(heads.where("held > 1"), "gid").where("unit != head").select(F.col("head").alias("a"), F.col("unit").alias("b"))
-
-    def by_heads(pairs):
-        for c in ("a", "b"):
-            pairs = pairs.join(heads.select(F.col("gid").alias(c), F.col("head").alias(f"h{c}")), c)
-        return pairs.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
-
-    def raise_by(roots, new):
-        for c in ("a", "b"):
-            new = rooted(new, c, roots).drop(c).withColumnRenamed("root", c)
-        return raised(roots, new.where("a != b"))
-
-    roots = components(verified(stage(by_heads(adjacent(lists)).union(inside), "pairs"), vectors))
-    for turn in range(TURNS):
-        left = mixed(lists, rooted(units.select("gid", "unit"), "unit", roots).select("gid", "root").distinct())
-        roots = raise_by(roots, verified(stage(by_heads(pivoted(left, turn)), "pairs"), vectors))
+    several = heads.where("held > 1").select("gid", "head")
+    # one pair for each group, by its first unit, and one for each other unit of a group
+    pairs = pivoted(lists)
+    for c in ("a", "b"):
+        pairs = pairs.join(heads.select(F.col("gid").alias(c), F.col("head").alias(f"h{c}")), c)
+    inside = units.join(several, "gid").where("unit != head").select(F.col("head").alias("a"), F.col("unit").alias("b"))
+    pairs = stage(pairs.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).union(inside), "pairs")
+    roots = components(verified(pairs, vectors_for(both(pairs))))
+    # then all pairs of different components: block by block, and those within groups
     held = stage(rooted(units.select("gid", "unit"), "unit", roots), "held")
     left = stage(mixed(lists, held.select("gid", "root").distinct()), "left")
-    # members of the group pairs, and of groups in several components
-    every = remaining(left)
+    may = stage(remaining(left).join(held, ["gid", "root"]).select("key", "side", "unit", "root"), "may")
+    one, other = (held.join(several, "gid").select("gid", F.col("unit").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    own = stage(one.join(other, "gid").where("a < b and ra != rb").select("a", "b"), "own")
+    vectors = vectors_for(may.select("unit").union(both(own)))
+    found = by_key(may.join(vectors, "unit").select("key", "side", "root", "vec")).mapInArrow(_meet, "a long, b long")
+    new = verified(own, vectors)
     for c in ("a", "b"):
-        every = every.join(held.select(F.col("gid").alias(c), F.col("root").alias(f"r{c}"), F.col("unit").alias(f"u{c}")), [c, f"r{c}"])
-    one, other = (held.join(several, "gid").select("gid", F.col("unit").alias(f"u{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-    own = one.join(other, "gid").where("ua < ub and ra != rb")
-    pairs = stage(every.select("ua", "ub").union(own.select("ua", "ub")).toDF("a", "b"), "pairs")
-    return raise_by(roots, verified(pairs, vectors))
+        new = rooted(new, c, roots).drop(c).withColumnRenamed("root", c)
+    return raised(roots, found.union(new).where("a != b"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,12 +76,12 @@ def test_join(spark, corpus):
 
 
 def test_exact_end_alone_finds_all_links(spark, corpus, monkeypatch):
-    """Without the turns before it, and with all shingles in a few buckets of the order."""
-    monkeypatch.setattr(jaccard, "TURNS", 0)
-    monkeypatch.setattr(jaccard, "adjacent", lambda lists: lists.limit(0).selectExpr("gid a", "gid b"))
-    some = corpus[:150]
-    df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
-    assert collected(jaccard.join(df)) == brute(some)
+    """Without pivots, in small blocks and slices, with heavy lists."""
+    monkeypatch.setattr(jaccard, "pivoted", lambda lists: lists.limit(0).selectExpr("gid a", "gid b"))
+    for name, value in (("BLOCK", 7), ("SLICE", 5), ("HEAVY_MEANS", 0), ("HEAVY_LEAST", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    assert collected(jaccard.join(df)) == brute(corpus)
 
 
 def test_odd_tables(spark):
