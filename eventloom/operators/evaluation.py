@@ -32,6 +32,18 @@ def ic_summary(ic: DataFrame, by: list[str], order: str, lag: int) -> DataFrame:
     return got.select(*by, "n", "mean", "sd", t.alias("t"), newey_west(F.col("_s"), lag).alias("nw_t"), "hit_rate")
 
 
+def window_correlations(df: DataFrame, values: dict[int, str], targets: dict[int, str], by: str, base: int, least: int) -> DataFrame:
+    """by, window, horizon, n, ic, flips: pooled rank correlation of each window's value with each horizon's target; flips: another sign than the base window's.
+
+    All pairs are one job; signs are exact (see rank_correlation). Groups under `least` pairs are left out.
+    """
+    pair = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.lit(h).alias("horizon"), F.col(v).alias("x"), F.col(t).alias("y")) for w, v in values.items() for h, t in targets.items()])).alias("p")
+    ic = rank_correlation(df.select(by, pair).select(by, "p.*"), "x", "y", [by, "window", "horizon"], least)
+    sign = F.signum("ic")
+    reference = F.max(F.when(F.col("window") == base, sign)).over(W.partitionBy(by, "horizon"))
+    return ic.withColumn("flips", F.coalesce(sign != reference, F.lit(False)))
+
+
 def quantile_buckets(df: DataFrame, value: str, by: list[str], buckets: int, least: int) -> DataFrame:
     """df with bucket 0 .. n - 1 by the group's quantile edges (right-closed, equal edges merged); small groups are left out."""
     cuts = [k / buckets for k in range(buckets + 1)]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import rank_correlation
 from .evaluation import best_threshold, classification_report
+from .folds import with_fold
 
 #: Fewer rows than this, or one class, give a constant.
 LEAST_ROWS = 20
@@ -61,9 +62,9 @@ def predict(model: PipelineModel | float, rows: DataFrame, name: str) -> DataFra
     return out.select(*rows.columns, p.alias("p"))
 
 
-def out_of_fold(df: DataFrame, columns: list[str], label: str, name: str, group: str, folds: int = 5, **params) -> DataFrame:
-    """df with p from models that never saw the row's group; a fold is a hash of the group. `text` models take one column of text."""
-    folded = df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)))
+def out_of_fold(df: DataFrame, columns: list[str], label: str, name: str, group: str, folds: int = 5, balanced: bool = False, **params) -> DataFrame:
+    """df with p from models that never saw the row's group; a fold is a hash of the group, or dealt by size (balanced). `text` models take one column of text."""
+    folded = with_fold(df, group, folds) if balanced else df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)))
     out = None
     for k in range(folds):
         train, rest = folded.where(F.col("fold") != k), folded.where(F.col("fold") == k)
@@ -81,14 +82,14 @@ class Family(NamedTuple):
     params: dict = {}
 
 
-def zoo(df: DataFrame, families: dict[str, Family], key: str, label: str, group: str, folds: int = 5) -> DataFrame:
+def zoo(df: DataFrame, families: dict[str, Family], key: str, label: str, group: str, folds: int = 5, balanced: bool = False) -> DataFrame:
     """model, key, label, p: out-of-fold probabilities of each family, and of `ensemble`, the mean of all of them."""
     parts = []
     for name, family in families.items():
         if family.kind == "rules":
             scored = df.withColumn("p", reduce(add, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in family.columns]) / len(family.columns))
         else:
-            scored = out_of_fold(df, family.columns, label, family.kind, group, folds, **family.params)
+            scored = out_of_fold(df, family.columns, label, family.kind, group, folds, balanced, **family.params)
         parts.append(scored.select(F.lit(name).alias("model"), key, label, "p"))
     every = reduce(DataFrame.unionByName, parts)
     mean = every.groupBy(key, label).agg(F.avg("p").alias("p")).select(F.lit("ensemble").alias("model"), key, label, "p")

@@ -1,6 +1,6 @@
 """Sentence splitting that learns from the corpus which periods end a sentence, after Kiss and Strunk's unsupervised method.
 
-One pass counts types with and without a period, a second counts what follows which stop. From these counts log-likelihood ratios give abbreviations,
+One pass counts tokens as they are written, a second counts what follows those with a stop. From these counts log-likelihood ratios give abbreviations,
 frequent sentence starters, and pairs that belong together over an initial's or a number's period; case within sentences tells which
 words are lower-cased there. Splitting looks up only tokens that may end a sentence, by joins with these tables, which Spark broadcasts where
 they are small: the tables grow with the vocabulary, not with the texts.
@@ -20,6 +20,9 @@ from ..sources.files import staged
 #: Fixed thresholds of the method: score of an abbreviation, ratios of a starter and of a pair.
 ABBREVIATION, STARTER, PAIR, CLOSE = 0.3, 30.0, 7.88, 0.99
 SPACE = r"[ \t\n\x0B\f\r]+"
+#: Tokens that end in a stop, whatever closes them; tokens with a stop or of marks alone, and what follows them.
+ENDING = r"[.!?…][\"')\]]*$"
+STOPPED = r"(?<![^ \t\n\x0B\f\r])([^ \t\n\x0B\f\r]*[.!?…][\"')\],;:]*|[\"'(\[)\],;:]+)(?=[ \t\n\x0B\f\r]+([^ \t\n\x0B\f\r]+))"
 
 
 class Model(NamedTuple):
@@ -43,11 +46,29 @@ def _token(t: Column) -> Column:
     )
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, t (see _token), next (that of the token after it; null for the last)."""
-    split = F.filter(F.split("text", SPACE), lambda t: t != "")
-    rows = docs.where("text is not null").select("doc_id", split.alias("_t")).select("doc_id", F.transform("_t", _token).alias("_t"))
-    return rows.select("doc_id", F.posexplode(F.transform("_t", lambda t, i: F.struct(t.alias("t"), F.get("_t", i + 1).alias("next")))).alias("pos", "_p")).select("doc_id", "pos", "_p.t", "_p.next")
+def words(text: str) -> Column:
+    return F.filter(F.split(text, SPACE), lambda t: t != "")
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """token, n, and its parts (see _token): every token as it is written is parsed once, however often it occurs; staged."""
+    raw = docs.where("text is not null").select(F.explode(F.split("text", SPACE)).alias("token")).where("token != ''").groupBy("token").agg(F.count("*").alias("n"))
+    return staged(raw.withColumn("t", _token(F.col("token"))), "tokens")
+
+
+def follow_counts(docs: DataFrame) -> DataFrame:
+    """token, follower, n: what follows tokens with a stop and tokens of marks alone; token is null for a text's first."""
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(STOPPED), F.lit(1)).alias("token"), F.regexp_extract_all("text", F.lit(STOPPED), F.lit(2)).alias("follower"))
+    first = F.struct(F.lit(None).cast("string").alias("token"), F.regexp_extract("text", r"^[ \t\n\x0B\f\r]*([^ \t\n\x0B\f\r]*)", 1).alias("follower"))
+    rows = docs.where("text is not null").select(F.explode(F.concat(pairs, F.array(first))).alias("p")).select("p.*")
+    return rows.where("follower != ''").groupBy("token", "follower").agg(F.count("*").alias("n"))
+
+
+def stops(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, token, follower of the tokens that may end a sentence; the last one of a text isn't among them."""
+    pairs = F.transform(F.col("_w"), lambda t, i: F.struct(i.alias("pos"), t.alias("token"), F.get("_w", i + 1).alias("follower")))
+    some = F.filter(pairs, lambda p: p["token"].rlike(ENDING) & p["follower"].isNotNull())
+    return docs.where("text is not null").select("doc_id", words("text").alias("_w")).select("doc_id", F.explode(some).alias("p")).select("doc_id", "p.*")
 
 
 def _log(n: Column, p: Column) -> Column:
@@ -76,17 +97,12 @@ def has_letter(w: str) -> Column:
     return F.col(w).rlike(r"\p{L}")
 
 
-def type_counts(rows: DataFrame) -> DataFrame:
-    """w, n_plain, n_period, n_lower: how often a type occurs without and with a period, and begins in lower case; staged."""
+def type_counts(tokens: DataFrame) -> DataFrame:
+    """w, n_plain, n_period, n_lower, n_upper: how often a type occurs without and with a period, and begins in lower case or not; staged."""
+    count = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
     period = F.col("t.kind") == "period"
-    real = rows.where("t.real").groupBy(F.col("t.w").alias("w"))
-    return staged(real.agg(F.count_if(~period).alias("n_plain"), F.count_if(period).alias("n_period"), F.count_if("t.lower").alias("n_lower")), "types")
-
-
-def follow_counts(rows: DataFrame) -> DataFrame:
-    """kind, closed, w (null but after a period), next, upper, n: how often a type follows a stop, or none; staged."""
-    keys = [F.col("t.kind").alias("kind"), F.col("t.closed").alias("closed"), F.when(F.col("t.kind") == "period", F.col("t.w")).alias("w"), F.col("next.w").alias("next"), F.col("next.upper").alias("upper")]
-    return staged(rows.where("t.real and next.real").groupBy(*keys).agg(F.count("*").alias("n")), "follows")
+    real = tokens.where("t.real").groupBy(F.col("t.w").alias("w"))
+    return staged(real.agg(count(~period).alias("n_plain"), count(period).alias("n_period"), count(F.col("t.lower")).alias("n_lower"), count(F.col("t.upper")).alias("n_upper")), "types")
 
 
 def abbreviations(types: DataFrame) -> DataFrame:
@@ -103,14 +119,17 @@ def abbreviations(types: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame) -> Model:
     """The tables that a corpus gives; each is staged."""
-    rows = tokens(docs)
-    types, follows = type_counts(rows), follow_counts(rows)
+    tokens = token_counts(docs)
+    types = type_counts(tokens)
     short = staged(abbreviations(types), "abbreviations")
     n = types.agg(F.sum(F.col("n_plain") + F.col("n_period")).alias("_n"))
-    every = types.select(F.col("w").alias("next"), (F.col("n_plain") + F.col("n_period")).alias("b"), "n_lower")
+    every = types.select(F.col("w").alias("next"), (F.col("n_plain") + F.col("n_period")).alias("b"), "n_lower", "n_upper")
+    follows = follow_counts(docs).select(_token(F.col("token")).alias("t"), _token(F.col("follower")).alias("f"), F.col("token").isNull().alias("first"), "n").where("f.real")
+    follows = follows.select("first", F.coalesce("t.real", F.lit(False)).alias("real"), "t.kind", "t.closed", "t.w", F.col("f.w").alias("next"), F.col("f.upper").alias("upper"), "n")
     known = follows.join(short.select("w", F.lit(True).alias("short")), "w", "left")
     plain_period = (F.col("kind") == "period") & F.col("short").isNull() & ~is_initial("w") & ~is_number("w")
-    known = staged(known.withColumn("ends", F.coalesce(F.col("closed") & ((F.col("kind") == "mark") | plain_period), F.lit(False))), "known")
+    ends = F.col("real") & F.col("closed") & ((F.col("kind") == "mark") | plain_period)
+    known = staged(known.withColumn("ends", F.coalesce(ends, F.lit(False))), "known")
     breaks = known.where("ends").agg(F.sum("n").alias("a"))
     # what begins sentences
     after = known.where("ends").groupBy("next").agg(F.sum("n").alias("ab")).join(every, "next").where(has_letter("next"))
@@ -119,20 +138,19 @@ def train(docs: DataFrame) -> Model:
     starters = after.crossJoin(F.broadcast(breaks)).crossJoin(F.broadcast(n)).where(often & (F.col("a") < F.col("_n"))).select("next", ratio.alias("score")).where(F.col("score") >= STARTER)  # one row each
     # what belongs together over the period of an initial or a number
     firsts = types.select("w", (F.col("n_plain") + F.col("n_period")).alias("a"))
-    both = known.where((F.col("kind") == "period") & (is_initial("w") | is_number("w"))).groupBy("w", "next").agg(F.sum("n").alias("ab")).where("ab > 1").where(has_letter("next"))
+    both = known.where(F.col("real") & (F.col("kind") == "period") & (is_initial("w") | is_number("w"))).groupBy("w", "next").agg(F.sum("n").alias("ab")).where("ab > 1").where(has_letter("next"))
     both = both.join(firsts, "w").join(every, "next").crossJoin(F.broadcast(n))
     pairs = both.where(often & (F.col("a") < F.col("_n"))).select("w", "next", ratio.alias("score")).where(F.col("score") >= PAIR)
-    # capitals that no sentence begins with: not after a stop of any kind
-    mid = known.where("upper and kind = 'none'").groupBy("next").agg(F.sum("n").alias("n_mid"))
-    cases = every.join(mid, "next", "left").select("next", "n_lower", F.coalesce("n_mid", F.lit(0)).alias("n_mid"))
+    # capitals that nothing explains: all of them but those after a stop of any kind, after marks alone and at the beginning of a text
+    other = known.where("upper and (first or not real or kind != 'none')").groupBy("next").agg(F.sum("n").alias("n_after"))
+    cases = every.join(other, "next", "left").select("next", "n_lower", (F.col("n_upper") - F.coalesce("n_after", F.lit(0))).alias("n_mid"))
     return Model(short, staged(starters, "starters"), staged(pairs, "pairs"), staged(cases, "cases"))
 
 
 def boundaries(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, pos of each token that ends a sentence and isn't its text's last."""
-    at = tokens(docs).where("t.kind != 'none' and t.closed and next is not null").select(
-        "doc_id", "pos", F.col("t.kind").alias("kind"), F.col("t.w").alias("w"), F.col("next.w").alias("next"), F.col("next.upper").alias("upper"), F.col("next.lower").alias("lower"),
-    )
+    parsed = stops(docs).select("doc_id", "pos", _token(F.col("token")).alias("t"), _token(F.col("follower")).alias("f")).where("t.kind != 'none' and t.closed")
+    at = parsed.select("doc_id", "pos", "t.kind", "t.w", F.col("f.w").alias("next"), F.col("f.upper").alias("upper"), F.col("f.lower").alias("lower"))
     seen = at.join(model.abbreviations.select("w", F.lit(True).alias("short")), "w", "left").join(model.starters.select("next", F.lit(True).alias("starts")), "next", "left")
     seen = seen.join(model.pairs.select("w", "next", F.lit(True).alias("paired")), ["w", "next"], "left").join(model.cases, "next", "left").fillna(False, ["short", "starts", "paired"]).fillna(0, ["n_lower", "n_mid"])
     begins = F.col("upper") & (((F.col("n_lower") > 0) & (F.col("n_mid") == 0)) | F.col("starts"))
@@ -147,9 +165,8 @@ def split(docs: DataFrame, model: Model, least: int) -> DataFrame:
 
     A text's stops are gathered to its row; its words never leave it.
     """
-    stops = boundaries(docs, model).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("_stops"))
-    words = docs.where("text is not null").select("doc_id", F.filter(F.split("text", SPACE), lambda t: t != "").alias("_w")).where("size(_w) > 0")
-    both = words.join(stops, "doc_id", "left")
+    found = boundaries(docs, model).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("_stops"))
+    both = docs.where("text is not null").join(found, "doc_id", "left").select("doc_id", "_stops", words("text").alias("_w")).where("size(_w) > 0")
     ends = F.concat(F.coalesce("_stops", F.array().cast("array<int>")), F.array(F.size("_w") - 1))
     both = both.withColumn("_ends", ends)
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_ends", i - 1) + 1)

@@ -52,6 +52,30 @@ def g36_p18_beta_windows(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("ticker", "date", *[F.round(x, 6).alias(f"residual_{n}") for n, x in res.items()], flips.alias("flips"))
 
 
+_BETA = ", ".join(f"CASE WHEN count(*) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) >= 30 THEN covar_samp(ret, market) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) / nullif(var_samp(market) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 0) END AS b{n}" for n in (40, 60, 90))
+
+
+@query(f"""WITH {PRICES}, {SIGNALS}, {RETURNS}, {MARKET}, b0 AS (SELECT ticker, date, ret, market, {_BETA} FROM returns JOIN market USING (date) WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+b AS (SELECT ticker, date, {", ".join(f"ret - lag(b{n}, 4) OVER w * market AS r{n}" for n in (40, 60, 90))} FROM b0 WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+f AS (SELECT ticker, date, lead(close, 1) OVER w / close - 1 AS f1, lead(close, 5) OVER w / close - 1 AS f5 FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+j AS (SELECT signal_type, b.*, f1, f5 FROM signals JOIN b USING (ticker, date) JOIN f USING (ticker, date)), l AS (SELECT signal_type, x.* FROM j, LATERAL (VALUES {", ".join(f"({n}, {h}, r{n}, f{h})" for n in (40, 60, 90) for h in (1, 5))}) x("window", horizon, x, y)),
+rk AS (SELECT signal_type, "window", horizon, rank() OVER (g ORDER BY x) + (count(*) OVER (PARTITION BY signal_type, "window", horizon, x) - 1) / 2.0 AS a, rank() OVER (g ORDER BY y) + (count(*) OVER (PARTITION BY signal_type, "window", horizon, y) - 1) / 2.0 AS b
+  FROM l WHERE x IS NOT NULL AND y IS NOT NULL WINDOW g AS (PARTITION BY signal_type, "window", horizon)), ic AS (SELECT signal_type, "window", horizon, count(*) AS n, {IC} AS ic FROM rk GROUP BY 1, 2, 3 HAVING count(*) >= 30)
+SELECT signal_type, CAST("window" AS INT) AS "window", CAST(horizon AS INT) AS horizon, n, round(ic, {R}) + 0.0 AS ic, coalesce(sign(ic) != max(CASE WHEN "window" = 60 THEN sign(ic) END) OVER (PARTITION BY signal_type, horizon), FALSE) AS flips FROM ic""")
+def g36_beta_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    """Does the correlation of residuals with later returns depend on the window of the beta?"""
+    rets = returns(spark, sf)
+    m = market(rets)
+    out = rets.join(m, "date")
+    for n in (40, 60, 90):
+        out = out.join(S.rolling_beta(rets, m, n, 30, 4).withColumnRenamed("beta", f"b{n}"), ["ticker", "date"])
+    out = out.select("ticker", "date", *[(F.col("ret") - F.col(f"b{n}") * F.col("market")).alias(f"r{n}") for n in (40, 60, 90)])
+    ahead = S.forward_returns(prices(spark, sf), [1, 5]).select("ticker", "date", "fwd_1", "fwd_5")
+    rows = signals(spark, sf).select("signal_type", "ticker", "date").join(out, ["ticker", "date"]).join(ahead, ["ticker", "date"])
+    ic = E.window_correlations(rows, {n: f"r{n}" for n in (40, 60, 90)}, {h: f"fwd_{h}" for h in (1, 5)}, "signal_type", 60, 30)
+    return ic.withColumn("ic", F.round("ic", R) + F.lit(0.0))
+
+
 @query(f"""{BASE}, k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, id) AS k FROM panel WHERE ret IS NOT NULL) SELECT month, round(avg(ret) FILTER (WHERE k <= 5), {R}) AS top, round(avg(ret), {R}) AS every, count(*) AS n FROM k GROUP BY month""")
 def j02_top_of_month(spark: SparkSession, sf: str) -> DataFrame:
     k = F.row_number().over(W.partitionBy("month").orderBy(F.desc("score"), "id"))

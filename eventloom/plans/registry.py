@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for name in ("market", "evaluation", "text", "audit", "validation", "learning", "research", "storage", "portfolio", "linear", "sentences"):
+    for name in ("market", "evaluation", "text", "audit", "validation", "learning", "research", "storage", "portfolio", "linear", "sentences", "universe"):
         importlib.import_module(f"eventloom.plans.{name}")
 
 

@@ -150,8 +150,8 @@ def l07_l08_zoo(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").where("quality is not null")
     x = d.select("doc_id", "source", "text", F.col("quality").cast("double").alias("y"), *features(F.col("text")))
     # staged, as every fit reads the features and every threshold the scores; an id that occurs twice counts once
-    x = files.staged(x.dropDuplicates(["doc_id"]), "zoo-features")
-    scored = files.staged(M.zoo(x, FAMILIES, "doc_id", "y", "source", 3), "zoo-scores")
+    x = files.staged(x.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in x.columns if c != "doc_id"]), F.struct("text", "source", "y")).alias("r")).select("doc_id", "r.*"), "zoo-features")
+    scored = files.staged(M.zoo(x, FAMILIES, "doc_id", "y", "source", 3, balanced=True), "zoo-scores")
     report = M.zoo_report(scored, "y", 0.96)
     board = report.withColumns({"ensemble": F.col("model") == "ensemble", "eligible": F.lit(True)})
     return M.leaderboard(board, 0.96).select("model", "threshold", "tp", "fp", "fn", "tn", "precision", "recall", "macro_f1")
