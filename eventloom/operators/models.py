@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import rank_correlation
+from . import embeddings
 from .evaluation import best_threshold, classification_report
 from .folds import with_fold
 
@@ -75,7 +76,7 @@ def out_of_fold(df: DataFrame, columns: list[str], label: str, name: str, group:
 
 
 class Family(NamedTuple):
-    """One kind of model of a zoo: a factory name, `text`, or `rules` (the mean of its columns is the probability)."""
+    """One kind of model of a zoo: a factory name, `text`, `embedding` (one column of text each), or `rules` (the mean of its columns is the probability)."""
 
     kind: str
     columns: list[str]
@@ -88,6 +89,9 @@ def zoo(df: DataFrame, families: dict[str, Family], key: str, label: str, group:
     for name, family in families.items():
         if family.kind == "rules":
             scored = df.withColumn("p", reduce(add, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in family.columns]) / len(family.columns))
+        elif family.kind == "embedding":
+            folded = with_fold(df, group, folds) if balanced else df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)))
+            scored = embeddings.out_of_fold(folded, key, family.columns[0], label, folds, embeddings.Settings(**family.params))
         else:
             scored = out_of_fold(df, family.columns, label, family.kind, group, folds, balanced, **family.params)
         parts.append(scored.select(F.lit(name).alias("model"), key, label, "p"))

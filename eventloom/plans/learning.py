@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import features
+from ..operators import embeddings as N
 from ..operators import models as M
+from ..operators.folds import with_fold
+from ..sources.files import staged
 from ..sources.views import table
 from .evaluation import panel
 from .registry import query
@@ -24,3 +27,11 @@ def l07_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     x = d.select("doc_id", "source", F.col("quality").cast("double").alias("y"), *features(F.col("text")))
     return M.out_of_fold(x, ["h14", "h21", "h24", "h25", "h26"], "y", "logistic", "source", balanced=True).select("doc_id", "source", "y", "p")
+
+
+@query()
+def l08_text_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of labelled documents by learned embeddings of hashed words and pairs, out of balanced folds of whole sources."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").where("quality is not null")
+    first = d.groupBy("doc_id").agg(F.min_by(F.struct("text", "source", F.col("quality").cast("double").alias("y")), F.struct("text", "source", "quality")).alias("r")).select("doc_id", "r.*")
+    return N.out_of_fold(with_fold(staged(first, "labelled"), "source", 3), "doc_id", "text", "y", 3, N.Settings(rounds=5))

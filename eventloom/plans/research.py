@@ -141,6 +141,7 @@ FAMILIES = {
     "logistic": M.Family("logistic", [f"h{k:02}" for k in range(1, 31)]),
     "boosted": M.Family("boosted", ["h14", "h21", "h24", "h25", "h26"], {"maxIter": 5}),
     "words": M.Family("text", ["text"]),
+    "embedding": M.Family("embedding", ["text"], {"rounds": 5}),
 }
 
 
