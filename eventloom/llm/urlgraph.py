@@ -83,8 +83,8 @@ def spread(hosts: DataFrame, edges: DataFrame, seed: str) -> DataFrame:
                 "host", "salts", "seed", ((1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("was")
             )
         score = stage(score, "scores")
-        moved = score.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0] or 0
-        # what is left of the series is at most d / (1 - d) of the last step
+        moved = score.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0
+        # a step moves no more in all than d times the one before, so what is left is at most d / (1 - d) of the last; single hosts' changes may grow again
         if moved * DAMPING / (1 - DAMPING) < TOLERANCE:
             return score.select("host", "score")
 

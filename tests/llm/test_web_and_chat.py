@@ -213,6 +213,17 @@ def test_scores_match_a_dense_solution(spark):
     assert np.allclose([have[h] for h in hosts], want, atol=urlgraph.TOLERANCE)
 
 
+def test_scores_that_spread_thin_and_meet_again(spark, monkeypatch):
+    """A seed, nine hops, a host that links to many that all link to one: each of the many changes by less than the tolerance."""
+    many = 1000
+    monkeypatch.setattr(urlgraph, "TOLERANCE", 2e-4)
+    edges = [(f"h{k}", f"h{k + 1}") for k in range(9)] + [("h9", f"m{k}") for k in range(many)] + [(f"m{k}", "last") for k in range(many)]
+    names = sorted({x for e in edges for x in e})
+    hosts = spark.createDataFrame([(x, float(x == "h0")) for x in names], "host string, good double")
+    got = {r.host: r.score for r in urlgraph.spread(hosts, spark.createDataFrame([(*e, 1) for e in edges], "src string, dst string, n long"), "good").collect()}
+    assert got["last"] == pytest.approx(0.15 * 0.85**11, abs=2e-4) and got["h9"] == pytest.approx(0.15 * 0.85**9, abs=2e-4)
+
+
 def test_verdicts_through_links_match_a_dense_solution(spark, salt=2):
     import numpy as np
 
