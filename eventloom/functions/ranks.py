@@ -97,6 +97,24 @@ def newey_west(ordered: Column, lag: int) -> Column:
     return F.when((n > lag + 1) & (total > 0), mean / F.sqrt(total / n))
 
 
+def newey_west_short(ordered: Column, lag: int) -> Column:
+    """The same for short series: the variance over n - 1, each lag's covariance over its own n - k pairs, lags up to n - 2.
+
+    Null under two values, 0 for zeros alone; a sum that isn't positive counts as 1e-15.
+    """
+    n = F.size(ordered)
+    sums = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    mean = sums(ordered) / n
+    dev = F.transform(ordered, lambda x: x - mean)
+    total = sums(F.transform(dev, lambda x: x * x)) / (n - 1)
+    for k in range(1, lag + 1):
+        rows = F.greatest(n - k, F.lit(0))
+        pairs = F.zip_with(F.slice(dev, F.lit(1), rows), F.slice(dev, F.lit(k + 1), rows), lambda x, y: x * y)
+        total = total + F.when(n - 2 >= k, 2 * (1 - k / (lag + 1)) * sums(pairs) / F.nullif(n - k, F.lit(0))).otherwise(0.0)
+    t = mean / F.sqrt(F.greatest(total, F.lit(1e-15)) / n)
+    return F.when(n >= 2, F.when(F.exists(ordered, lambda x: x != 0), t).otherwise(0.0))
+
+
 def return_stats(df: DataFrame, value: str, by: list[str], periods: int) -> DataFrame:
     """by, n, ann_return, ann_vol, sharpe; no row under two values, no Sharpe without volatility."""
     out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"))

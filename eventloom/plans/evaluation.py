@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranks import return_stats
+from ..functions.ranks import newey_west_short, return_stats
 from ..operators import evaluation as E
 from ..operators import series as S
 from ..sources import views as V
@@ -60,6 +60,17 @@ def g10_g11_ic_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("n", *[r(c) for c in ("mean", "sd", "t", "nw_t", "hit_rate")])
 
 
+@query(f"""{BASE}, {RANKED}, s AS (SELECT year(month) AS year, ic, row_number() OVER (PARTITION BY year(month) ORDER BY month) AS k, count(*) OVER (PARTITION BY year(month)) AS n, ic - avg(ic) OVER (PARTITION BY year(month)) AS d FROM ic WHERE ic IS NOT NULL),
+c AS (SELECT a.year, b.k - a.k AS j, sum(a.d * b.d) / any_value(CASE WHEN b.k = a.k THEN a.n - 1 ELSE a.n - (b.k - a.k) END) AS g FROM s a JOIN s b ON a.year = b.year AND b.k >= a.k AND b.k - a.k <= least(4, a.n - 2) WHERE a.n >= 2 GROUP BY 1, 2),
+v AS (SELECT year, greatest(sum(CASE WHEN j = 0 THEN g ELSE 2 * (1 - j / 5.0) * g END), 1e-15) AS v FROM c GROUP BY year)
+SELECT CAST(year AS INT) AS year, count(*) AS n, round(CASE WHEN count(*) < 2 THEN NULL WHEN bool_or(ic != 0) THEN avg(ic) / sqrt(any_value(v) / count(*)) ELSE 0 END, {R}) AS nw_t FROM s LEFT JOIN v USING (year) GROUP BY year""")
+def g11_yearly_newey_west(spark: SparkSession, sf: str) -> DataFrame:
+    """The t statistic of each year's few coefficients, with the short series' own denominators."""
+    ic = E.cross_sectional_ic(panel(spark, sf), ["score"], ["ret"], ["month"], 6).where("ic is not null")
+    series = F.transform(F.array_sort(F.collect_list(F.struct("month", "ic"))), lambda x: x["ic"])  # twelve at most
+    return ic.groupBy(F.year("month").alias("year")).agg(F.count("*").alias("n"), F.round(newey_west_short(series, 4), R).alias("nw_t"))
+
+
 @query(f"{BASE}, {EDGES} SELECT month, bucket, round(avg(ret), {R}) AS ret, count(*) AS n FROM b GROUP BY month, bucket")
 def g12_bucket_returns(spark: SparkSession, sf: str) -> DataFrame:
     return E.bucket_returns(panel(spark, sf), "score", "ret", ["month"], 4, 2).select("month", "bucket", r("ret"), "n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import dates as D
 from eventloom.functions import text as T
-from eventloom.functions.ranks import rank_correlation
+from eventloom.functions.ranks import newey_west_short, rank_correlation
 from eventloom.operators import documents, evaluation, joins, models, sampling, series
 from eventloom.sources import files
 from eventloom.streaming import jobs
@@ -69,6 +69,23 @@ def test_rank_correlation(spark):
     assert [round(got[g], 9) for g in ("up", "down", "gap")] == [1, -1, -1]
 
 
+@pytest.mark.parametrize("series", [[0.1, -0.2, 0.3, 0.05, 0.2, -0.1], [0.1, 0.3], [0.2], [], [0.0, 0.0, 0.0], [1.0, -1.0, 1.0, -1.0, 1.0], [0.5] * 4])
+def test_newey_west_of_a_short_series(spark, series):
+    n, want = len(series), None
+    if n >= 2 and any(series):
+        mean = sum(series) / n
+        dev = [x - mean for x in series]
+        total = sum(d * d for d in dev) / (n - 1)
+        for k in range(1, 4):
+            if k <= n - 2:
+                total += 2 * (1 - k / 4) * sum(a * b for a, b in zip(dev[k:], dev, strict=False)) / (n - k)
+        want = pytest.approx(mean / math.sqrt(max(total, 1e-15) / n))
+    elif n >= 2:
+        want = 0.0
+    df = spark.createDataFrame([(series,)], "s array<double>")
+    assert df.select(newey_west_short(F.col("s"), 3)).first()[0] == want
+
+
 def test_a_rank_correlation_of_zero_is_zero(spark):
     rows = [("zero", a, b) for a, b in zip((0.1, 0.2, 0.3, 0.4), (0.2, 0.4, 0.1, 0.3), strict=True)] + [("tied", a, b) for a, b in zip((1.0, 1.0, 2.0, 2.0), (0.1, 0.7, 0.1, 0.7), strict=True)]
     df = spark.createDataFrame(rows, "g string, a double, b double").repartition(3)
