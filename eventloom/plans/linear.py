@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import gram as G
 from ..sources import views as V
 from ..sources.files import staged
@@ -94,3 +95,13 @@ def l05_lasso_selection(spark: SparkSession, sf: str) -> DataFrame:
     models = G.ridge_models(x, held, FOLDS, list(LABELS), [1.0], LEAST, inner=3, most=5)
     each = models.select("label", F.array(*[F.lit(d) for d in held.cuts])[F.col("cut")].alias("fold"), "n_train", F.posexplode("slope").alias("k", "slope"))
     return each.select("label", "fold", "n_train", F.array(*[F.lit(c) for c in columns])[F.col("k")].alias("column"), F.round("slope", R).alias("slope")).where("slope != 0")
+
+
+@query()
+def l02_boosted_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Test rows of a year under trees grown leaf by leaf on the rows whose labels are known before it."""
+    start, stop = FOLDS[1]
+    x = sample(spark, sf)
+    train = x.where((F.col("month") < F.lit(start)) & (F.col("end_1") < F.lit(start)))
+    model = B.train(train, COLUMNS, "ret_1", B.Settings(trees=5))
+    return B.predict(x.where((F.col("month") >= F.lit(start)) & (F.col("month") < F.lit(stop))), model).select("ticker", "month", "ret_1", F.round("p", R).alias("p"))
