@@ -2,16 +2,20 @@
 
 One pass counts tokens as they are written, a second counts what follows those with a stop. From these counts log-likelihood ratios give abbreviations,
 frequent sentence starters, and pairs that belong together over an initial's or a number's period; case within sentences tells which
-words are lower-cased there. Splitting looks up only tokens that may end a sentence, by joins with these tables, which Spark broadcasts where
-they are small: the tables grow with the vocabulary, not with the texts.
+words are lower-cased there. Splitting judges each pair of a token that may end a sentence and its follower once, by joins with these tables; the texts
+are then split where they lie.
 
-A token is a run without white space; quotes and brackets around it and commas, colons and semicolons after it are set aside. doc_id is unique.
+A token is a run without white space; quotes and brackets around it and commas, colons and semicolons after it are set aside. doc_id is unique
+and not null.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,9 @@ ABBREVIATION, STARTER, PAIR, CLOSE = 0.3, 30.0, 7.88, 0.99
 SPACE = r"[ \t\n\x0B\f\r]+"
 #: Tokens that end in a stop, whatever closes them; tokens with a stop or of marks alone, and what follows them.
 ENDING = r"[.!?…][\"')\]]*$"
+#: Pairs that don't end a sentence, and their bytes, up to which they are broadcast.
+INSIDE_PAIRS, INSIDE_BYTES = 500_000, 16 << 20
+SPACES, CLOSERS = re.compile(SPACE), frozenset(".!?…\"')]")
 STOPPED = r"(?<![^ \t\n\x0B\f\r])([^ \t\n\x0B\f\r]*[.!?…][\"')\],;:]*|[\"'(\[)\],;:]+)(?=[ \t\n\x0B\f\r]+([^ \t\n\x0B\f\r]+))"
 
 
@@ -147,29 +154,68 @@ def train(docs: DataFrame) -> Model:
     return Model(short, staged(starters, "starters"), staged(pairs, "pairs"), staged(cases, "cases"))
 
 
-def boundaries(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, pos of each token that ends a sentence and isn't its text's last."""
-    parsed = stops(docs).select("doc_id", "pos", _token(F.col("token")).alias("t"), _token(F.col("follower")).alias("f")).where("t.kind != 'none' and t.closed")
-    at = parsed.select("doc_id", "pos", "t.kind", "t.w", F.col("f.w").alias("next"), F.col("f.upper").alias("upper"), F.col("f.lower").alias("lower"))
+def _ending(pairs: DataFrame, model: Model) -> DataFrame:
+    """pairs (token, follower, ...) with ends: does the token end a sentence before its follower?"""
+    keep = pairs.columns
+    parsed = pairs.select(*keep, _token(F.col("token")).alias("t"), _token(F.col("follower")).alias("f"))
+    at = parsed.select(*keep, "t.kind", "t.closed", "t.w", F.col("f.w").alias("next"), F.col("f.upper").alias("upper"), F.col("f.lower").alias("lower"))
     seen = at.join(model.abbreviations.select("w", F.lit(True).alias("short")), "w", "left").join(model.starters.select("next", F.lit(True).alias("starts")), "next", "left")
     seen = seen.join(model.pairs.select("w", "next", F.lit(True).alias("paired")), ["w", "next"], "left").join(model.cases, "next", "left").fillna(False, ["short", "starts", "paired"]).fillna(0, ["n_lower", "n_mid"])
     begins = F.col("upper") & (((F.col("n_lower") > 0) & (F.col("n_mid") == 0)) | F.col("starts"))
     lone = is_initial("w") | is_number("w")
     name = is_initial("w") & F.col("upper") & (F.col("n_lower") == 0)
     ends = F.when(F.col("kind") == "mark", F.lit(True)).when((F.col("kind") == "dots") | F.col("short"), begins).when(lone, ~F.col("paired") & ~F.col("lower") & ~name).otherwise(F.lit(True))
-    return seen.where(ends).select("doc_id", "pos")
+    return seen.select(*keep, ((F.col("kind") != "none") & F.col("closed") & ends).alias("ends"))
+
+
+def boundaries(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, pos of each token that ends a sentence and isn't its text's last."""
+    return _ending(stops(docs), model).where("ends").select("doc_id", "pos")
+
+
+def _cut(frames: Iterator[pd.DataFrame], inside, least: int) -> Iterator[pd.DataFrame]:
+    """doc_id, n, text of the sentences of whole texts; inside: pairs of a token and its follower that belong to one sentence."""
+    inside, ending = inside.value, re.compile(ENDING)
+    for frame in frames:
+        out = []
+        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            words = [w for w in SPACES.split(text) if w]
+            first, n = 0, 0
+            for k, word in enumerate(words):
+                last = k + 1 == len(words)
+                if last or (word[-1] in CLOSERS and ending.search(word) and (word, words[k + 1]) not in inside):
+                    said = " ".join(words[first : k + 1])
+                    first = k + 1
+                    if len(said) >= least:
+                        out.append((doc_id, n, said))
+                        n += 1
+        yield pd.DataFrame(out, columns=["doc_id", "n", "text"])
 
 
 def split(docs: DataFrame, model: Model, least: int) -> DataFrame:
     """sentence_id (doc_id#0000000), text: sentences of `least` characters or more, white space as one space, numbered over those kept.
 
-    A text's stops are gathered to its row; its words never leave it.
+    Each pair of a token and its follower is judged once, however often it occurs. Where those that don't end a sentence are few, they are broadcast and texts are
+    split where they lie; otherwise the stops of a text are joined to it.
     """
+    pairs = follow_counts(docs).where("token is not null").select("token", "follower").where(F.col("token").rlike(ENDING))
+    inside = staged(_ending(pairs, model).where("not ends").select("token", "follower"), "inside")
+    n, size = inside.agg(F.count("*"), F.sum(F.octet_length("token") + F.octet_length("follower"))).first()
+    real = docs.where("text is not null").select("doc_id", "text")
+    if n <= INSIDE_PAIRS and (size or 0) <= INSIDE_BYTES:
+        sent = docs.sparkSession.sparkContext.broadcast({(r.token, r.follower) for r in inside.collect()})
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        kept = real.mapInPandas(lambda f: _cut(f, sent, least), f"doc_id {kind}, n int, text string")
+    else:
+        kept = split_by_join(real, model, least)
+    return kept.select(F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.lpad(F.col("n").cast("string"), 7, "0")).alias("sentence_id"), "text")
+
+
+def split_by_join(docs: DataFrame, model: Model, least: int) -> DataFrame:
+    """doc_id, n, text: a text's stops are gathered and joined to it; its words never leave its row."""
     found = boundaries(docs, model).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("_stops"))
-    both = docs.where("text is not null").join(found, "doc_id", "left").select("doc_id", "_stops", words("text").alias("_w")).where("size(_w) > 0")
-    ends = F.concat(F.coalesce("_stops", F.array().cast("array<int>")), F.array(F.size("_w") - 1))
-    both = both.withColumn("_ends", ends)
+    both = docs.join(found, "doc_id", "left").select("doc_id", "_stops", words("text").alias("_w")).where("size(_w) > 0")
+    both = both.withColumn("_ends", F.concat(F.coalesce("_stops", F.array().cast("array<int>")), F.array(F.size("_w") - 1)))
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_ends", i - 1) + 1)
-    found = F.transform("_ends", lambda e, i: F.array_join(F.slice("_w", start(i) + 1, e - start(i) + 1), " "))
-    kept = both.select("doc_id", F.posexplode(F.filter(found, lambda s: F.length(s) >= least)).alias("n", "text"))
-    return kept.select(F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.lpad(F.col("n").cast("string"), 7, "0")).alias("sentence_id"), "text")
+    cut = F.transform("_ends", lambda e, i: F.array_join(F.slice("_w", start(i) + 1, e - start(i) + 1), " "))
+    return both.select("doc_id", F.posexplode(F.filter(cut, lambda s: F.length(s) >= least)).alias("n", "text"))

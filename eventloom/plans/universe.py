@@ -143,8 +143,10 @@ def k03_resumed_scores(spark: SparkSession, sf: str) -> DataFrame:
         down = (F.col("doc_id") % 11 == 0) | ((F.col("doc_id") % 7 == 0) & F.lit(not tried))
         return lambda rows: rows.select("doc_id", F.when(down, F.col("text")).alias("text"), F.when(~down, F.length("text").cast("long")).alias("score"), F.when(down, F.lit("no answer")).alias("error"), F.lit("retry" if tried else "new").alias("found_in"))
 
-    landed = files.shared_path(spark, "landed")
-    docs.write.parquet(landed)
+    landed = f"{sf}/documents.parquet"
+    if not files.is_folder(spark, landed):  # a stream reads folders
+        landed = files.shared_path(spark, "landed")
+        docs.write.parquet(landed)
     scoring.score_new_files(spark, landed, "doc_id long, text string", out, scorer(False))
     scoring.retry_failures(spark, out, "doc_id", lambda rows: scorer(True)(rows))
     return scoring.results(spark, out, "doc_id")[0].select("doc_id", "score", "found_in")

@@ -174,6 +174,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/eventloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, for what several jobs read."""
     path = shared_path(df.sparkSession, name)

@@ -73,6 +73,13 @@ def test_odd_texts(spark, model):
     assert [tuple(r) for r in short] == [("1#0000000", "The long river stayed.")]
 
 
+def test_both_ways_of_splitting_agree(spark, model, monkeypatch):
+    texts = [t for _, t in corpus()[:80]] + [None, "", "Mr. Bell. Dr. Hall... \"So!\" he said. e.g. This. (No. 5.) J. Marsh", "é. É. à"]
+    one = sentences(spark, model, *texts)
+    monkeypatch.setattr(S, "INSIDE_PAIRS", -1)
+    assert sentences(spark, model, *texts) == one
+
+
 def test_training_on_nothing(spark):
     none = S.train(spark.createDataFrame([], "doc_id long, text string"))
     assert [df.count() for df in none] == [0, 0, 0, 0]
