@@ -43,14 +43,14 @@ class Model(NamedTuple):
 
 def _token(t: Column) -> Column:
     """kind (mark, dots, period or none), w (lower case, without its stop), closed (nothing but quotes and brackets follows), upper, lower (its first letter)."""
+    first = lambda x: [(F.substring(x, 1, 1) != F.lower(F.substring(x, 1, 1))).alias("upper"), (F.substring(x, 1, 1) != F.upper(F.substring(x, 1, 1))).alias("lower")]
+    # most tokens are letters, with or without a period
+    plain = F.struct(F.when(t.endswith("."), "period").otherwise("none").alias("kind"), F.lower(F.rtrim(t, F.lit("."))).alias("w"), F.lit(True).alias("closed"), *first(t), F.lit(True).alias("real"))
     bare = F.regexp_replace(F.regexp_replace(t, r"^[\"'(\[]+", ""), r"[\"')\],;:]+$", "")
     kind = F.when(bare.rlike(r"[!?]$"), "mark").when(bare.rlike(r"\.\.$|…$"), "dots").when(bare.endswith("."), "period").otherwise("none")
     word = F.regexp_replace(bare, r"[.!?…]+$", "")
-    first = F.substring(bare, 1, 1)
-    return F.struct(
-        kind.alias("kind"), F.lower(word).alias("w"), (~t.rlike(r"[,;:][\"')\]]*$")).alias("closed"),
-        (first != F.lower(first)).alias("upper"), (first != F.upper(first)).alias("lower"), (bare != "").alias("real"),
-    )
+    other = F.struct(kind.alias("kind"), F.lower(word).alias("w"), (~t.rlike(r"[,;:][\"')\]]*$")).alias("closed"), *first(bare), (bare != "").alias("real"))
+    return F.when(t.rlike(r"^\p{L}+\.?$"), plain).when(t.isNotNull(), other)
 
 
 def words(text: str) -> Column:
@@ -126,12 +126,17 @@ def abbreviations(types: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame) -> Model:
     """The tables that a corpus gives; each is staged."""
+    return train_on(docs, follow_counts(docs))
+
+
+def train_on(docs: DataFrame, pairs: DataFrame) -> Model:
+    """The same with what follows what in docs (see follow_counts), where that has other uses."""
     tokens = token_counts(docs)
     types = type_counts(tokens)
     short = staged(abbreviations(types), "abbreviations")
     n = types.agg(F.sum(F.col("n_plain") + F.col("n_period")).alias("_n"))
     every = types.select(F.col("w").alias("next"), (F.col("n_plain") + F.col("n_period")).alias("b"), "n_lower", "n_upper")
-    follows = follow_counts(docs).select(_token(F.col("token")).alias("t"), _token(F.col("follower")).alias("f"), F.col("token").isNull().alias("first"), "n").where("f.real")
+    follows = pairs.select(_token(F.col("token")).alias("t"), _token(F.col("follower")).alias("f"), F.col("token").isNull().alias("first"), "n").where("f.real")
     follows = follows.select("first", F.coalesce("t.real", F.lit(False)).alias("real"), "t.kind", "t.closed", "t.w", F.col("f.w").alias("next"), F.col("f.upper").alias("upper"), "n")
     known = follows.join(short.select("w", F.lit(True).alias("short")), "w", "left")
     plain_period = (F.col("kind") == "period") & F.col("short").isNull() & ~is_initial("w") & ~is_number("w")
@@ -192,14 +197,14 @@ def _cut(frames: Iterator[pd.DataFrame], inside, least: int) -> Iterator[pd.Data
         yield pd.DataFrame(out, columns=["doc_id", "n", "text"])
 
 
-def split(docs: DataFrame, model: Model, least: int) -> DataFrame:
+def split(docs: DataFrame, model: Model, least: int, pairs: DataFrame | None = None) -> DataFrame:
     """sentence_id (doc_id#0000000), text: sentences of `least` characters or more, white space as one space, numbered over those kept.
 
     Each pair of a token and its follower is judged once, however often it occurs. Where those that don't end a sentence are few, they are broadcast and texts are
-    split where they lie; otherwise the stops of a text are joined to it.
+    split where they lie; otherwise the stops of a text are joined to it. pairs: what follow_counts gives for docs, if it is known.
     """
-    pairs = follow_counts(docs).where("token is not null").select("token", "follower").where(F.col("token").rlike(ENDING))
-    inside = staged(_ending(pairs, model).where("not ends").select("token", "follower"), "inside")
+    pairs = (follow_counts(docs) if pairs is None else pairs).where("token is not null").select("token", "follower")
+    inside = staged(_ending(pairs.where(F.col("token").rlike(ENDING)), model).where("not ends").select("token", "follower"), "inside")
     n, size = inside.agg(F.count("*"), F.sum(F.octet_length("token") + F.octet_length("follower"))).first()
     real = docs.where("text is not null").select("doc_id", "text")
     if n <= INSIDE_PAIRS and (size or 0) <= INSIDE_BYTES:

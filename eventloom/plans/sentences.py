@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sentences as S
+from ..sources.files import staged
 from ..sources.views import table
 from .registry import query
 
@@ -69,4 +70,5 @@ x AS (SELECT doc_id, k, string_agg(tok, ' ' ORDER BY pos) AS text FROM n GROUP B
 SELECT doc_id || '#' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::VARCHAR, 7, '0') AS sentence_id, md5(text) AS digest FROM x WHERE length(text) >= {LEAST}""")
 def f08_trained_sentences(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return S.split(docs, S.train(docs), LEAST).select("sentence_id", F.md5("text").alias("digest"))
+    pairs = staged(S.follow_counts(docs), "pairs")
+    return S.split(docs, S.train_on(docs, pairs), LEAST, pairs).select("sentence_id", F.md5("text").alias("digest"))
