@@ -28,27 +28,36 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return require_unique(left, keys).join(require_unique(right, keys), keys)
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, carry: list[str], days: int, strict: bool = False, forward: bool = False) -> DataFrame:
-    """left with carry (and right_at) of the nearest right row of the same `by` within `days` calendar days before (after) at.
+def nearest(keys: DataFrame, right: DataFrame, by: str, at: str, right_at: str, carry: list[str], days: int, strict: bool = False, forward: bool = False) -> DataFrame:
+    """_by, _at, _near (a struct of right_at and carry, or null): the nearest right row for each distinct by and at of keys, see asof.
 
-    Time is cut into spans of `days`: a right row is sent to its span and the next one on, so a busy key is dealt over
-    many tasks and no span needs more than its neighbour. Null where nothing is near.
+    Time is cut into spans of `days`: a right row is sent to its span and the next one on, so a busy key is dealt over many tasks and no
+    span needs more than its neighbour. Rows are read towards the key in either direction, as a running frame takes one step a row.
     """
     span = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / (days + 1))
     packed = F.struct(F.col(right_at), *carry)
     reach = (F.lit(0), F.lit(-1)) if forward else (F.lit(0), F.lit(1))
-    r = right.where(F.col(right_at).isNotNull()).select(F.col(by).alias("_by"), F.explode(F.array(*[span(right_at) + k for k in reach])).alias("_span"), F.col(right_at).alias("_at"), packed.alias("_right"), F.lit(1 if strict != forward else 0).alias("_side"))
-    # on equal days the side that sorts first is not seen by the other: right first unless the join is strict
-    l_side = 0 if strict != forward else 1
-    row = F.struct(*left.columns)
-    both = left.select(F.col(by).alias("_by"), span(at).alias("_span"), F.col(at).alias("_at"), row.alias("_left"), F.lit(l_side).alias("_side")).unionByName(r, allowMissingColumns=True)
-    order = W.partitionBy("_by", "_span").orderBy("_at", "_side")
-    frame = order.rowsBetween(0, W.unboundedFollowing) if forward else order.rowsBetween(W.unboundedPreceding, 0)
-    seen = (F.first("_right", ignorenulls=True) if forward else F.last("_right", ignorenulls=True)).over(frame)
-    found = both.withColumn("_seen", seen).where("_left is not null").select("_left.*", "_seen")
-    gap = F.datediff(F.col(f"_seen.{right_at}"), F.col(at)) if forward else F.datediff(F.col(at), F.col(f"_seen.{right_at}"))
-    near = F.when(gap <= days, F.col("_seen"))
-    return found.select(*left.columns, *[near[c].alias(c) for c in [right_at, *carry]])
+    # on equal days the side that comes first is seen by the other: right first unless the join is strict
+    r_side, l_side = (1, 0) if strict else (0, 1)
+    known = right.where(F.col(right_at).isNotNull() & F.col(by).isNotNull())
+    r = known.select(F.col(by).alias("_by"), F.explode(F.array(*[span(right_at) + k for k in reach])).alias("_span"), F.col(right_at).alias("_at"), packed.alias("_right"), F.lit(r_side).alias("_side"))
+    once = keys.select(F.col(by).alias("_by"), F.col(at).alias("_at")).distinct()
+    both = once.select("_by", span("_at").alias("_span"), "_at", F.lit(l_side).alias("_side")).unionByName(r, allowMissingColumns=True)
+    order = W.partitionBy("_by", "_span").orderBy(F.desc("_at") if forward else F.asc("_at"), "_side").rowsBetween(W.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.last("_right", ignorenulls=True).over(order)).where(F.col("_side") == l_side)
+    there = F.col(f"_seen.{right_at}")
+    gap = F.datediff(there, "_at") if forward else F.datediff("_at", there)
+    return seen.select("_by", "_at", F.when(gap <= days, F.col("_seen")).alias("_near"))
+
+
+def asof(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, carry: list[str], days: int, strict: bool = False, forward: bool = False) -> DataFrame:
+    """left with carry (and right_at) of the nearest right row of the same `by` within `days` calendar days before (after) at; null where nothing is near.
+
+    Rows of the same by and at have one answer: it is found once and joined back by both, so rows of a busy key meet in no task.
+    """
+    found = nearest(left, right, by, at, right_at, carry, days, strict, forward)
+    joined = left.join(found, left[by].eqNullSafe(found["_by"]) & left[at].eqNullSafe(found["_at"]))
+    return joined.select(*[left[c] for c in left.columns], *[F.col(f"_near.{c}").alias(c) for c in [right_at, *carry]])
 
 
 def forward_entry(events: DataFrame, bars: DataFrame, most_business_days: int = 5) -> DataFrame:

@@ -108,6 +108,17 @@ def test_asof_by_search(spark, forward, strict):
         assert (x.q, x.v) == want, x
 
 
+def test_asof_finds_the_answer_of_a_day_once(spark):
+    left = spark.range(2000).selectExpr("id as i", "'a' as k", "date_add(date'2020-01-01', cast(id % 3 as int)) as at").unionByName(spark.sql("select -1L as i, cast(null as string) as k, date'2020-01-01' as at"))
+    right = spark.sql("select * from values ('a', date'2020-01-03', 7.0D), (null, date'2020-01-02', 8.0D) as t(k, q, v)")
+    assert joins.nearest(left, right, "k", "at", "q", ["v"], 400, forward=True).count() == 4
+    out = joins.asof(left, right, "k", "at", "q", ["v"], 400, forward=True)
+    # a frame that reaches to the end is read anew at each row
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    got = {(r.k, r.v): r.n for r in out.groupBy("k", "v").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", 7.0): 2000, (None, None): 1}
+
+
 def test_validated_join_fails_on_repeats(spark):
     a, b = spark.createDataFrame([(1, "x"), (1, "y")], "k long, a string"), spark.createDataFrame([(1, "z")], "k long, b string")
     with pytest.raises(Exception, match="repeated key"):
