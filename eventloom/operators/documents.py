@@ -22,7 +22,8 @@ def without_adjacent_copies(values):
 
 def sentence_rows(docs: DataFrame, least: int) -> DataFrame:
     """sentence_id (doc_id#0000000), text: sentences of `least` characters or more, numbered over those kept."""
-    clean = F.transform(sentences(F.regexp_replace("text", r"\s+", " ")), F.trim)
+    # a lambda, as a function of two arguments would get the position as the characters to trim
+    clean = F.transform(sentences(F.regexp_replace("text", r"\s+", " ")), lambda s: F.trim(s))
     kept = F.filter(clean, lambda s: F.length(s) >= least)
     rows = docs.where("text is not null").select("doc_id", F.posexplode(kept).alias("n", "text"))
     return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.lpad(F.col("n").cast("string"), 7, "0")).alias("sentence_id"), "text")
