@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import asof
+from .joins import asof, nearest
 
 NO_ENTRY, CENSORED, DELISTED = "skip_no_entry_quote", "right_censored_no_exit_quote", "delisting_exit_used"
 
@@ -18,7 +18,9 @@ def trade_log(plans: DataFrame, quotes: DataFrame, days: int) -> DataFrame:
     """
     side = lambda name: quotes.select("ticker", F.col("date").alias(f"actual_{name}_date"), F.col("close").alias(f"{name}_price"))
     out = asof(plans, side("entry"), "ticker", "planned_entry_date", "actual_entry_date", ["entry_price"], days, forward=True)
-    out = asof(out, side("exit"), "ticker", "planned_exit_date", "actual_exit_date", ["exit_price"], days, forward=True)
+    # keys of plans, not of what was joined to them, so that the first look-up is not made again
+    leave = nearest(plans, side("exit"), "ticker", "planned_exit_date", "actual_exit_date", ["exit_price"], days, forward=True)
+    out = out.join(leave, F.col("ticker").eqNullSafe(F.col("_by")) & F.col("planned_exit_date").eqNullSafe(F.col("_at"))).select(*out.columns, "_near.*")
     last = quotes.groupBy("ticker").agg(F.max("date").alias("_last"))
     out = out.join(last, "ticker", "left").crossJoin(F.broadcast(last.agg(F.max("_last").alias("_end"))))  # one row
     entered = F.col("entry_price").isNotNull()
