@@ -34,13 +34,13 @@ def finite_ends(value: str) -> tuple[Column, Column]:
     return F.min(real).alias("_low"), F.max(real).alias("_high")
 
 
-def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by, value, rank, size: the average rank of each distinct value of a group, as average_rank gives it, and the group's rows.
+def value_ranks(df: DataFrame, value: str, by: list[str], times: Column | None = None) -> DataFrame:
+    """by, value, rank, size: the average rank of each distinct value of a group, as average_rank gives it, and the group's rows; times: rows that a row stands for.
 
     For groups that hold much of the rows: values are counted first, each of CELLS parts of a group's range is ranked on its own, and
     the rows below a part are carried in.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*by, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("_n"))
     ends = df.groupBy(*by).agg(*finite_ends(value))
     named = ends.select(*[F.col(k).alias(f"_by_{k}") for k in by], "_low", "_high")
     here = reduce(and_, (counts[k].eqNullSafe(named[f"_by_{k}"]) for k in by))
@@ -56,9 +56,9 @@ def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return upto.join(parts, here).select(*by, value, (F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"), "size")
 
 
-def with_rank(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+def with_rank(df: DataFrame, value: str, by: list[str], times: Column | None = None) -> DataFrame:
     """df with `rank` and `size`, see value_ranks."""
-    ranks = value_ranks(df, value, by).select(*[F.col(k).alias(f"_r_{k}") for k in [*by, value]], "rank", "size")
+    ranks = value_ranks(df, value, by, times).select(*[F.col(k).alias(f"_r_{k}") for k in [*by, value]], "rank", "size")
     here = reduce(and_, (df[k].eqNullSafe(ranks[f"_r_{k}"]) for k in [*by, value]))
     return df.join(ranks, here).select(*df.columns, "rank", "size")
 
@@ -70,10 +70,24 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: list[str], least: int =
     """
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     twice = lambda c: (2 * average_rank(c, by)).cast("long")
-    ranked = pairs.select(*by, twice(a).alias("_a"), twice(b).alias("_b"))
-    total = lambda x: F.sum(x.cast("decimal(20,0)")).cast("decimal(38,0)")
+    return _correlation(pairs.select(*by, twice(a).alias("_a"), twice(b).alias("_b"), F.lit(1).alias("_times")), by, least)
+
+
+def pooled_rank_correlation(df: DataFrame, a: str, b: str, by: list[str], least: int = 2, times: Column | None = None) -> DataFrame:
+    """The same for a few groups that hold much of the rows: equal pairs are counted first, and values are ranked as in value_ranks. times: rows that a row stands for."""
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    counted = pairs.groupBy(*by, F.col(a).alias("_x"), F.col(b).alias("_y")).agg(F.sum(F.lit(1) if times is None else times).alias("_times"))
+    ranked = counted
+    for value, name in (("_x", "_a"), ("_y", "_b")):
+        ranked = with_rank(ranked, value, by, F.col("_times")).withColumn(name, (2 * F.col("rank")).cast("long")).drop("rank", "size")
+    return _correlation(ranked, by, least)
+
+
+def _correlation(ranked: DataFrame, by: list[str], least: int) -> DataFrame:
+    """by, n, ic from doubled ranks _a and _b of pairs that occur _times."""
+    total = lambda x: F.sum(x.cast("decimal(20,0)") * F.col("_times").cast("decimal(18,0)")).cast("decimal(38,0)")
     sums = ranked.groupBy(*by).agg(
-        F.count("*").alias("n"), total(F.col("_a")).alias("_sa"), total(F.col("_b")).alias("_sb"), total(F.col("_a") * F.col("_b")).alias("_sab"),
+        F.sum("_times").alias("n"), total(F.col("_a")).alias("_sa"), total(F.col("_b")).alias("_sb"), total(F.col("_a") * F.col("_b")).alias("_sab"),
         total(F.col("_a") * F.col("_a")).alias("_saa"), total(F.col("_b") * F.col("_b")).alias("_sbb"),
     )
     covered = lambda xy, x, y: F.expr(f"cast(n as decimal(20,0)) * {xy} - {x} * {y}").cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranks import newey_west, rank_correlation, with_rank
+from ..functions.ranks import newey_west, pooled_rank_correlation, rank_correlation, with_rank
 
 
 def latest_per_ticker(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -37,8 +37,10 @@ def window_correlations(df: DataFrame, values: dict[int, str], targets: dict[int
 
     All pairs are one job; signs are exact (see rank_correlation). Groups under `least` pairs are left out.
     """
+    same = [by, *{*values.values(), *targets.values()}]
+    counted = df.groupBy(*same).agg(F.count(F.lit(1)).alias("_rows"))  # before the pairs are made: rows of one ticker and day are alike
     pair = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.lit(h).alias("horizon"), F.col(v).alias("x"), F.col(t).alias("y")) for w, v in values.items() for h, t in targets.items()])).alias("p")
-    ic = rank_correlation(df.select(by, pair).select(by, "p.*"), "x", "y", [by, "window", "horizon"], least)
+    ic = pooled_rank_correlation(counted.select(by, "_rows", pair).select(by, "_rows", "p.*"), "x", "y", [by, "window", "horizon"], least, F.col("_rows"))
     sign = F.signum("ic")
     reference = F.max(F.when(F.col("window") == base, sign)).over(W.partitionBy(by, "horizon"))
     return ic.withColumn("flips", F.coalesce(sign != reference, F.lit(False)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import dates as D
 from eventloom.functions import text as T
-from eventloom.functions.ranks import newey_west_short, rank_correlation
+from eventloom.functions.ranks import newey_west_short, pooled_rank_correlation, rank_correlation
 from eventloom.operators import documents, evaluation, joins, models, sampling, series
 from eventloom.sources import files
 from eventloom.streaming import jobs
@@ -108,6 +108,21 @@ def test_asof_by_search(spark, forward, strict):
         assert (x.q, x.v) == want, x
 
 
+def test_pooled_rank_correlation_counts_equal_pairs_once(spark):
+    r = random.Random(5)
+    some = [None, float("nan"), -1.0, 0.0, 2.5, 7.0, 1e300]
+    rows = [(g, r.choice(some), r.choice(some)) for g in ("a", "b", None) for _ in range(300)] + [("c", 1.0, 2.0)] * 40 + [("d", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    want = {x.g: (x.n, x.ic) for x in rank_correlation(df, "a", "b", ["g"]).collect()}
+    assert {x.g: (x.n, x.ic) for x in pooled_rank_correlation(df, "a", "b", ["g"]).collect()} == want
+    once = df.groupBy("g", "a", "b").agg(F.count("*").alias("k"))
+    assert {x.g: (x.n, x.ic) for x in pooled_rank_correlation(once, "a", "b", ["g"], times=F.col("k")).collect()} == want
+    # the pairs of windows and horizons are made of counted rows: no window runs over a group's rows
+    flat = evaluation.window_correlations(df.withColumn("c", F.col("b")), {1: "a"}, {1: "b", 2: "c"}, "g", 1, 2)
+    assert {x.g: (x.n, x.ic) for x in flat.where("horizon = 2").collect()} == want
+    assert "_rows" in flat._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_asof_finds_the_answer_of_a_day_once(spark):
     left = spark.range(2000).selectExpr("id as i", "'a' as k", "date_add(date'2020-01-01', cast(id % 3 as int)) as at").unionByName(spark.sql("select -1L as i, cast(null as string) as k, date'2020-01-01' as at"))
     right = spark.sql("select * from values ('a', date'2020-01-03', 7.0D), (null, date'2020-01-02', 8.0D) as t(k, q, v)")
