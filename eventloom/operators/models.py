@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import rank_correlation
+from ..sources.files import staged
 from . import embeddings
 from .evaluation import best_threshold, classification_report
 from .folds import with_fold
@@ -65,14 +66,24 @@ def predict(model: PipelineModel | float, rows: DataFrame, name: str) -> DataFra
 
 def out_of_fold(df: DataFrame, columns: list[str], label: str, name: str, group: str, folds: int = 5, balanced: bool = False, **params) -> DataFrame:
     """df with p from models that never saw the row's group; a fold is a hash of the group, or dealt by size (balanced). `text` models take one column of text."""
-    folded = with_fold(df, group, folds) if balanced else df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)))
+    folded = fold_groups(df, group, folds, balanced)
+    return out_of_given_fold(folded, columns, label, name, folds, **params).drop("fold")
+
+
+def fold_groups(df: DataFrame, group: str, folds: int, balanced: bool) -> DataFrame:
+    """df with fold, staged: every fit reads its rows several times, so columns that take work are made once."""
+    return staged(with_fold(df, group, folds) if balanced else df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds))), "folds")
+
+
+def out_of_given_fold(folded: DataFrame, columns: list[str], label: str, name: str, folds: int, **params) -> DataFrame:
+    """Rows with p from models of the other folds' rows; folded has the column fold."""
     out = None
     for k in range(folds):
         train, rest = folded.where(F.col("fold") != k), folded.where(F.col("fold") == k)
         model = text_model(train.fillna("", columns), columns[0], label, **params) if name == "text" else fit(train, columns, label, name, **params)
         part = predict(model, rest.fillna("", columns) if name == "text" else rest, name)
         out = part if out is None else out.unionByName(part)
-    return out.drop("fold")
+    return out
 
 
 class Family(NamedTuple):
@@ -85,15 +96,14 @@ class Family(NamedTuple):
 
 def zoo(df: DataFrame, families: dict[str, Family], key: str, label: str, group: str, folds: int = 5, balanced: bool = False) -> DataFrame:
     """model, key, label, p: out-of-fold probabilities of each family, and of `ensemble`, the mean of all of them."""
-    parts = []
+    parts, folded = [], fold_groups(df, group, folds, balanced)
     for name, family in families.items():
         if family.kind == "rules":
             scored = df.withColumn("p", reduce(add, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in family.columns]) / len(family.columns))
         elif family.kind == "embedding":
-            folded = with_fold(df, group, folds) if balanced else df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)))
             scored = embeddings.out_of_fold(folded, key, family.columns[0], label, folds, embeddings.Settings(**family.params))
         else:
-            scored = out_of_fold(df, family.columns, label, family.kind, group, folds, balanced, **family.params)
+            scored = out_of_given_fold(folded, family.columns, label, family.kind, folds, **family.params)
         parts.append(scored.select(F.lit(name).alias("model"), key, label, "p"))
     every = reduce(DataFrame.unionByName, parts)
     mean = every.groupBy(key, label).agg(F.avg("p").alias("p")).select(F.lit("ensemble").alias("model"), key, label, "p")
@@ -133,7 +143,11 @@ def fit_windows(df: DataFrame, folds: list[tuple[str, str]], at: str, ends: str,
 
 
 def walk_forward(df: DataFrame, folds: list[tuple[str, str]], at: str, ends: str, columns: list[str], label: str, name: str, least: int = 10, **params) -> DataFrame:
-    """Test rows of each fold with p; a model trains on rows known before the fold whose label ended before it, too."""
+    """Test rows of each fold with p; a model trains on rows known before the fold whose label ended before it, too. df is staged, as every fit reads it several times."""
+    return _walk(staged(df, "walk"), folds, at, ends, columns, label, name, least, **params)
+
+
+def _walk(df: DataFrame, folds: list[tuple[str, str]], at: str, ends: str, columns: list[str], label: str, name: str, least: int = 10, **params) -> DataFrame:
     out = None
     for k, (start, stop) in enumerate(folds):
         train = df.where(known_before(at, ends, F.lit(start).cast("date")) & F.col(label).isNotNull())
@@ -169,9 +183,9 @@ def leaderboard(results: DataFrame, recall: float) -> DataFrame:
 
 def search(df: DataFrame, folds: list[tuple[str, str]], at: str, ends: str, columns: list[str], label: str, name: str, grid: list[dict]) -> tuple[dict, list[float | None]]:
     """The parameters with the best mean rank correlation over purged walk-forward folds, and all means. The grid is small."""
-    means = []
+    means, df = [], staged(df, "walk")
     for params in grid:
-        scored = walk_forward(df, folds, at, ends, columns, label, name, **params)
+        scored = _walk(df, folds, at, ends, columns, label, name, **params)
         means.append(rank_correlation(scored, "p", label, ["fold"]).agg(F.avg("ic")).first()[0])
     best = max(range(len(grid)), key=lambda k: (means[k] is not None, means[k] or 0.0, -k))
     return grid[best], means

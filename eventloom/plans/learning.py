@@ -25,8 +25,9 @@ def l06_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def l07_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    x = d.select("doc_id", "source", F.col("quality").cast("double").alias("y"), *features(F.col("text")))
-    return M.out_of_fold(x, ["h14", "h21", "h24", "h25", "h26"], "y", "logistic", "source", balanced=True).select("doc_id", "source", "y", "p")
+    columns = ["h14", "h21", "h24", "h25", "h26"]
+    x = d.select("doc_id", "source", F.col("quality").cast("double").alias("y"), *features(F.col("text"))).select("doc_id", "source", "y", *columns)
+    return M.out_of_fold(x, columns, "y", "logistic", "source", balanced=True).select("doc_id", "source", "y", "p")
 
 
 @query()
