@@ -49,10 +49,15 @@ def start(settings: Settings) -> Embedding:
 
 def features(text, buckets: int):
     """Buckets of the words and pairs of neighbouring words of a text, repeats kept; a null text has none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     place = lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    return F.concat(F.transform(words, place), F.transform(F.filter(pairs, lambda p: p.isNotNull()), place))
+
+    def placed(words):
+        pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+        return F.concat(F.transform(words, place), F.transform(F.filter(pairs, lambda p: p.isNotNull()), place))
+
+    # a list of one binds the words, so a text is split once
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    return F.element_at(F.transform(F.array(words), placed), 1)
 
 
 def probability(x: np.ndarray) -> np.ndarray:
@@ -60,20 +65,26 @@ def probability(x: np.ndarray) -> np.ndarray:
 
 
 def descend(rows: list[np.ndarray], labels: np.ndarray, at: Embedding, rate: float, batch: int) -> Embedding:
-    """One pass of mini-batch descent on the log loss."""
+    """One pass of mini-batch descent on the log loss.
+
+    A step counts the features of its rows in a small table, so that it reads and writes the vector of each feature once, by products of matrices.
+    """
     vectors, weights, bias = at.vectors.copy(), at.weights.copy(), at.bias
+    sizes = np.array([len(r) for r in rows])
     for first in range(0, len(rows), batch):
         some = rows[first : first + batch]
-        size = np.array([max(len(r), 1) for r in some], float)
-        row = np.repeat(np.arange(len(some)), [len(r) for r in some])
+        size = np.maximum(sizes[first : first + batch], 1).astype(float)
         feature = np.concatenate(some).astype(int)
-        mean = np.zeros((len(some), len(weights)))
-        np.add.at(mean, row, vectors[feature])
-        mean /= size[:, None]
+        row = np.repeat(np.arange(len(some)), sizes[first : first + batch])
+        used = np.flatnonzero(np.bincount(feature, minlength=len(vectors)))
+        place = np.empty(len(vectors), int)
+        place[used] = np.arange(len(used))
+        share = np.bincount(row * len(used) + place[feature], minlength=len(some) * len(used)).reshape(len(some), len(used)) / size[:, None]
+        own = vectors[used]
+        mean = share @ own
         error = labels[first : first + batch] - probability(mean @ weights + bias)
         step = rate / len(some)
-        pull = np.outer(error / size, weights)
-        np.add.at(vectors, feature, step * pull[row])
+        vectors[used] = own + np.outer(step * (error @ share), weights)
         weights += step * (error @ mean)
         bias += step * float(error.sum())
     return Embedding(vectors, weights, bias)
@@ -96,10 +107,18 @@ def _passing(sent, rate: float, batch: int):
 
 def train(rows: DataFrame, key: str, text: str, label: str, settings: Settings = Settings()) -> Embedding:
     """Rows without a label don't count. Partitions are of about part_rows rows, however many there are; a round is two jobs."""
-    spark, size = rows.sparkSession, settings.dimension + 1
+    return _train(staged(_placed(rows, key, text, label, settings), "features"), settings)
+
+
+def _placed(rows: DataFrame, key: str, text: str, label: str, settings: Settings, *more: str) -> DataFrame:
+    """order, name, label, features of rows, as training reads them, and more columns."""
     order = F.xxhash64(F.col(key), F.lit(settings.seed))
-    columns = [order.alias("order"), F.col(key).cast("string").alias("name"), F.col(label).cast("double").alias("label"), features(F.col(text), settings.buckets).alias("features")]
-    held = staged(rows.where(F.col(label).isNotNull()).select(*columns), "features")
+    return rows.select(*more, order.alias("order"), F.col(key).cast("string").alias("name"), F.col(label).cast("double").alias("label"), features(F.col(text), settings.buckets).alias("features"))
+
+
+def _train(placed: DataFrame, settings: Settings) -> Embedding:
+    spark, size = placed.sparkSession, settings.dimension + 1
+    held = placed.where("label is not null").select("order", "name", "label", "features")
     n = max(1, -(-held.count() // settings.part_rows))
     now = start(settings)
     for k in range(settings.rounds):
@@ -127,17 +146,24 @@ def _score(frames: Iterator[pd.DataFrame], sent) -> Iterator[pd.DataFrame]:
 
 def score(rows: DataFrame, model: Embedding, key: str, text: str) -> DataFrame:
     """key, p: probability of label 1; a text without words has that of the bias."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema[key].dataType.simpleString()
-    named = rows.select(F.col(key).alias("_key"), features(F.col(text), len(model.vectors)).alias("_features"))
-    return named.mapInPandas(lambda f: _score(f, sent), f"_key {kind}, p double").withColumnRenamed("_key", key)
+    return _scored(rows.select(F.col(key).alias("_key"), features(F.col(text), len(model.vectors)).alias("_features")), model).withColumnRenamed("_key", key)
+
+
+def _scored(named: DataFrame, model: Embedding) -> DataFrame:
+    """The columns of named with p in place of _features."""
+    sent = named.sparkSession.sparkContext.broadcast(model)
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in named.dtypes if c != "_features")
+    return named.mapInPandas(lambda f: _score(f, sent), f"{kinds}, p double")
 
 
 def out_of_fold(df: DataFrame, key: str, text: str, label: str, folds: int, settings: Settings = Settings()) -> DataFrame:
-    """key, label, p: each row under the model that the other folds' rows give; df has the column fold."""
+    """key, label, p: each row under the model that the other folds' rows give; df has the column fold. Features are made once for all folds."""
+    own = df.select("fold", F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(text).alias("_text"))
+    held = staged(_placed(own, "_key", "_text", "_label", settings, "fold", "_key", "_label"), "features")
     out = None
     for k in range(folds):
-        rest = df.where(F.col("fold") == k)
-        part = rest.select(key, label).join(score(rest, train(df.where(F.col("fold") != k), key, text, label, settings), key, text), key)
+        model = _train(held.where(F.col("fold") != k), settings)
+        rest = held.where(F.col("fold") == k).select("_key", "_label", F.col("features").alias("_features"))
+        part = _scored(rest, model).select(F.col("_key").alias(key), F.col("_label").alias(label), "p")
         out = part if out is None else out.unionByName(part)
     return out

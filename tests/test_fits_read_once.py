@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import models
+from eventloom.operators import embeddings, models
 
 
 @pytest.fixture
@@ -30,3 +30,17 @@ def test_out_of_fold(counted, balanced):
     df, made = counted
     assert models.out_of_fold(df, ["x"], "y", "logistic", "g", 3, balanced).count() == 120
     assert made.value == 120
+
+
+def test_embeddings(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return f"word{i % 2} word{i % 5}"
+
+    df = spark.range(60).select("id", (F.col("id") % 3).alias("fold"), (F.col("id") % 2).cast("double").alias("y"), text("id").alias("t"))
+    settings = embeddings.Settings(rounds=2, buckets=64, dimension=3)
+    assert embeddings.out_of_fold(df, "id", "t", "y", 3, settings).count() == 60
+    assert made.value == 60
