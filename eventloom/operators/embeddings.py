@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import staged
+from .folds import at_once
 
 DIMENSION, BUCKETS = 50, 1 << 14
 
@@ -125,13 +127,11 @@ def _train(placed: DataFrame, settings: Settings) -> Embedding:
         sent, rate = spark.sparkContext.broadcast(now), settings.rate * (1 - k / settings.rounds)
         dealt = held.withColumn("part", F.pmod("order", F.lit(n))).groupBy("part")
         passes = dealt.applyInPandas(_passing(sent, rate, settings.batch), "feature int, change array<double>")
-        mean = passes.groupBy("feature").agg(F.array(*[F.sum(F.get("change", F.lit(j))) / n for j in range(size)]).alias("change")).toPandas()
-        vectors, weights, bias = now.vectors.copy(), now.weights, now.bias
-        for feature, change in mean.itertuples(index=False):
-            if feature < 0:
-                weights, bias = weights + np.array(change[:-1]), bias + change[-1]
-            else:
-                vectors[feature] += np.array(change[:-1])
+        mean = passes.groupBy("feature").agg(F.array(*[F.sum(F.get("change", F.lit(j))) / n for j in range(size)]).alias("change")).toArrow().combine_chunks()
+        feature, change = mean.column("feature").to_numpy(), mean.column("change").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        vectors, top = now.vectors.copy(), change[feature < 0].sum(0)
+        vectors[feature[feature >= 0]] += change[feature >= 0, :-1]
+        weights, bias = now.weights + top[:-1], now.bias + float(top[-1])
         sent.unpersist()
         now = Embedding(vectors, weights, bias)
     return now
@@ -160,10 +160,10 @@ def out_of_fold(df: DataFrame, key: str, text: str, label: str, folds: int, sett
     """key, label, p: each row under the model that the other folds' rows give; df has the column fold. Features are made once for all folds."""
     own = df.select("fold", F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(text).alias("_text"))
     held = staged(_placed(own, "_key", "_text", "_label", settings, "fold", "_key", "_label"), "features")
-    out = None
-    for k in range(folds):
+
+    def part(k: int) -> DataFrame:
         model = _train(held.where(F.col("fold") != k), settings)
         rest = held.where(F.col("fold") == k).select("_key", "_label", F.col("features").alias("_features"))
-        part = _scored(rest, model).select(F.col("_key").alias(key), F.col("_label").alias(label), "p")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return _scored(rest, model).select(F.col("_key").alias(key), F.col("_label").alias(label), "p")
+
+    return reduce(DataFrame.unionByName, at_once(held, part, range(folds)))

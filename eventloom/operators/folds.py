@@ -1,11 +1,13 @@
-"""Folds of nearly equal size from groups that stay whole."""
+"""Folds of nearly equal size from groups that stay whole, and work on them side by side."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,10 @@ def with_fold(df: DataFrame, group: str, folds: int) -> DataFrame:
     """df with fold, see balanced_folds."""
     dealt = balanced_folds(df, group, folds).select(F.col(group).alias("_group"), "fold")
     return df.join(dealt, df[group].eqNullSafe(dealt["_group"])).drop("_group")
+
+
+def at_once(df: DataFrame, work: Callable, items) -> list:
+    """work of each of a few items (folds, families), side by side, in their order: fits are many short jobs, each too small for all cores."""
+    items = list(items)
+    with ThreadPool(len(items)) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(work), items, 1)

@@ -18,7 +18,7 @@ from ..functions.ranks import rank_correlation
 from ..sources.files import staged
 from . import embeddings
 from .evaluation import best_threshold, classification_report
-from .folds import with_fold
+from .folds import at_once, with_fold
 
 #: Fewer rows than this, or one class, give a constant.
 LEAST_ROWS = 20
@@ -76,14 +76,17 @@ def fold_groups(df: DataFrame, group: str, folds: int, balanced: bool) -> DataFr
 
 
 def out_of_given_fold(folded: DataFrame, columns: list[str], label: str, name: str, folds: int, **params) -> DataFrame:
-    """Rows with p from models of the other folds' rows; folded has the column fold."""
-    out = None
-    for k in range(folds):
+    """Rows with p from models of the other folds' rows; folded has the column fold. Words of texts are hashed once for all folds."""
+    kept = folded.columns
+    if name == "text":
+        folded = staged(hashed_words(folded.fillna("", columns), columns[0]), "words")
+
+    def part(k: int) -> DataFrame:
         train, rest = folded.where(F.col("fold") != k), folded.where(F.col("fold") == k)
-        model = text_model(train.fillna("", columns), columns[0], label, **params) if name == "text" else fit(train, columns, label, name, **params)
-        part = predict(model, rest.fillna("", columns) if name == "text" else rest, name)
-        out = part if out is None else out.unionByName(part)
-    return out
+        model = text_classifier(label, **params).fit(train) if name == "text" else fit(train, columns, label, name, **params)
+        return predict(model, rest, name).select(*kept, "p")
+
+    return reduce(DataFrame.unionByName, at_once(folded, part, range(folds)))
 
 
 class Family(NamedTuple):
@@ -96,16 +99,22 @@ class Family(NamedTuple):
 
 def zoo(df: DataFrame, families: dict[str, Family], key: str, label: str, group: str, folds: int = 5, balanced: bool = False) -> DataFrame:
     """model, key, label, p: out-of-fold probabilities of each family, and of `ensemble`, the mean of all of them."""
-    parts, folded = [], fold_groups(df, group, folds, balanced)
-    for name, family in families.items():
+    folded = fold_groups(df, group, folds, balanced)
+
+    def part(name: str) -> DataFrame:
+        family = families[name]
+        # a family carries its own columns alone
+        own = folded.select("fold", *dict.fromkeys([key, label, *family.columns]))
         if family.kind == "rules":
-            scored = df.withColumn("p", reduce(add, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in family.columns]) / len(family.columns))
+            scored = own.withColumn("p", reduce(add, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in family.columns]) / len(family.columns))
         elif family.kind == "embedding":
-            scored = embeddings.out_of_fold(folded, key, family.columns[0], label, folds, embeddings.Settings(**family.params))
+            scored = embeddings.out_of_fold(own, key, family.columns[0], label, folds, embeddings.Settings(**family.params))
         else:
-            scored = out_of_given_fold(folded, family.columns, label, family.kind, folds, **family.params)
-        parts.append(scored.select(F.lit(name).alias("model"), key, label, "p"))
-    every = reduce(DataFrame.unionByName, parts)
+            scored = out_of_given_fold(own, family.columns, label, family.kind, folds, **family.params)
+        return scored.select(F.lit(name).alias("model"), key, label, "p")
+
+    # staged, as the mean reads the scores again
+    every = staged(reduce(DataFrame.unionByName, at_once(df, part, families)), "scores")
     mean = every.groupBy(key, label).agg(F.avg("p").alias("p")).select(F.lit("ensemble").alias("model"), key, label, "p")
     return every.unionByName(mean)
 
@@ -170,10 +179,23 @@ def nonzero_features(train: DataFrame, columns: list[str], label: str) -> list[s
 
 def text_model(train: DataFrame, text: str, label: str, **params) -> PipelineModel:
     """Words and word pairs, hashed, under a logistic regression."""
+    return Pipeline(stages=[*_hashing(text), text_classifier(label, **params)]).fit(train)
+
+
+def text_classifier(label: str, **params) -> LogisticRegression:
+    return factory("logistic", label, **({"regParam": 0.05} | params))
+
+
+def _hashing(text: str) -> list:
+    """Stages from a text to features; none needs a fit."""
     words, pairs = Tokenizer(inputCol=text, outputCol="words"), NGram(inputCol="words", outputCol="pairs", n=2)
     hashed = [HashingTF(inputCol=c, outputCol=f"tf_{c}", numFeatures=1 << 14) for c in ("words", "pairs")]
-    both = VectorAssembler(inputCols=["tf_words", "tf_pairs"], outputCol="features")
-    return Pipeline(stages=[words, pairs, *hashed, both, factory("logistic", label, **({"regParam": 0.05} | params))]).fit(train)
+    return [words, pairs, *hashed, VectorAssembler(inputCols=["tf_words", "tf_pairs"], outputCol="features")]
+
+
+def hashed_words(df: DataFrame, text: str) -> DataFrame:
+    """df with features: its words and word pairs, hashed."""
+    return PipelineModel(_hashing(text)).transform(df).select(*df.columns, F.col("features").alias("features", metadata={}))
 
 
 def leaderboard(results: DataFrame, recall: float) -> DataFrame:
