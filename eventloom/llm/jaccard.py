@@ -9,7 +9,7 @@
 4. The exact end compares all groups that share a list and aren't in one component. Those outside a list's largest component are few; they are gathered in blocks by the
    longest list they are in, and meet what shares a list with them. A first pass over the prefixes alone keeps those with a partner whose sizes and shared shingles allow
    the threshold: nothing more is shared up to the last shared one, nor up to the end of the prefix that ends first.
-5. What is kept is expanded to the groups' units, whose whole sets are compared block by block.
+5. What is kept is expanded to the groups' units, whose whole sets are compared block by block; a block tells only the links that join what it hasn't joined yet.
 
 Links inside a component change nothing, so copies and large families cost their size, not its square. Blocks and slices are of bounded size; a list that is itself long (see
 HEAVY) is never sorted in one task.
@@ -283,12 +283,31 @@ def _promise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(ended())
 
 
+class Forest:
+    """Components of what one key's rows link: of a family whose rows all link, only the links that join two of its parts are told."""
+
+    def __init__(self):
+        self.above = {}
+
+    def root(self, node: int) -> int:
+        above = self.above
+        while (up := above.get(node, node)) != node:
+            above[node] = node = above.get(up, up)
+        return node
+
+    def joins(self, a: int, b: int) -> bool:
+        """Were a and b in different components? They're in one now."""
+        a, b = self.root(a), self.root(b)
+        self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of components, from sorted groups of rows: the units of a block (side 0), then those that they meet."""
-    now, own, index, seen = None, [], None, set()
+    """Links (a, b) of components, fewer than the rows of a group, from sorted groups of rows: the units of a block (side 0), then those that they meet."""
+    now, own, index, forest = None, [], None, Forest()
     for key, first, (root, vec) in _groups(batches, ["root", "vec"]):
         if key != now:
-            now, own, index, seen = key, [], None, set()
+            now, own, index, forest = key, [], None, Forest()
         if first:
             own.append((root, _read(vec)))
             continue
@@ -297,9 +316,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index or Index([v for _, v in own])
         tokens = _read(vec)
         both = np.bincount(index.row[index.hits(tokens)[0]], minlength=len(own))
-        new = {(min(root, own[k][0]), max(root, own[k][0])) for k in np.flatnonzero(100 * both >= PERCENT * (index.size + len(tokens) - both)).tolist() if own[k][0] != root} - seen
+        new = [(root, own[k][0]) for k in np.flatnonzero(100 * both >= PERCENT * (index.size + len(tokens) - both)).tolist() if forest.joins(root, own[k][0])]
         if new:
-            seen |= new
             a, b = zip(*new, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 

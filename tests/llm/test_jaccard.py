@@ -84,6 +84,17 @@ def test_exact_end_alone_finds_all_links(spark, corpus, monkeypatch):
     assert collected(jaccard.join(df)) == brute(corpus)
 
 
+def test_exact_end_tells_no_more_links_than_rows(spark, monkeypatch):
+    """A family that no pivot joined: all its pairs link, but a block tells only what joins its parts."""
+    base, told, raised = words(150, 3), [], jaccard.raised
+    family = [(k, " ".join([*base, f"own{k}"])) for k in range(300)]
+    monkeypatch.setattr(jaccard, "pivoted", lambda lists: lists.limit(0).selectExpr("gid a", "gid b"))
+    monkeypatch.setattr(jaccard, "raised", lambda roots, links: told.append(links.count()) or raised(roots, links))
+    df = spark.createDataFrame(family, "doc_id long, text string").repartition(3)
+    assert {r.component_id for r in jaccard.join(df).collect()} == {0}
+    assert told and 299 <= told[0] < 3 * 300
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id string, text string")
     assert jaccard.join(empty).count() == 0
