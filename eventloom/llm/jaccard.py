@@ -1,13 +1,14 @@
 """N-gram Jaccard join by grouped prefixes: every pair of documents whose five-word shingle sets reach PERCENT, as components.
 
-1. Shingles are counted in BUCKETS hash buckets (a fixed-size table); the global order of shingles is (count of the bucket, hash). Any order gives
-   the same result; this one puts passages that much of the corpus shares last.
+1. Shingles are counted in 2 ** BUCKET_BITS hash buckets (a fixed-size table); the global order of shingles is (level of the bucket's count, hash). Any order gives
+   the same result; this one puts passages that several texts share last. Only what stands out of a bucket's usual load does so: what doesn't is in prefixes by
+   chance, and texts that share it meet in the exact end. With few buckets these meetings grow faster than the input.
 2. A map over the texts gives each its set's size, a fingerprint and its prefix: two sets that link share one of their first n - ceil(0.8 n) + 1 shingles.
    Equal sets are one unit; units of equal prefix and size are one group, so a prefix is posted once for a group.
-3. Prefix shingles that more than one group has make the lists. Each group is paired with the one it shares most with among a few pivots of its lists; these
+3. Prefix shingles that more than one group has make the lists. Each group is paired with the few it shares most with among the pivots of its lists; these
    pairs, and those of the units of a group with its first, are verified on the whole sets and give components (large-star, small-star).
 4. The exact end compares all groups that share a list and aren't in one component. Those outside a list's largest component are few; they are gathered in blocks by the
-   longest list they are in, and meet what shares a list with them. A first pass over the prefixes alone keeps those with a partner whose sizes and shared shingles allow
+   longest list they are in, and meet what shares a list with them, in short lists only what sizes and places allow. A first pass over the prefixes alone keeps those with a partner whose sizes and shared shingles allow
    the threshold: nothing more is shared up to the last shared one, nor up to the end of the prefix that ends first.
 5. What is kept is expanded to the groups' units, whose whole sets are compared block by block; a block tells only the links that join what it hasn't joined yet.
 
@@ -36,12 +37,12 @@ from .common import ASCII_SPACE, Runs, blocks, byte_set, mix, partitions, small_
 from .neardup import components, raised, rooted, sized_broadcast
 
 SHINGLE, PERCENT = 5, 80
-#: Hash buckets whose counts order the shingles: 2 ** 18 numbers on the driver, whatever the input.
-BUCKET_BITS = 18
-#: Pivots of a list before the exact end.
-PIVOTS = 3
-#: In the exact end, rows of a block, and rows that it meets in one task's group.
-BLOCK, SLICE = 256, 1024
+#: Hash buckets whose counts order the shingles, and those of a range: 2 ** 24 bytes on the driver and in each worker, whatever the input.
+BUCKET_BITS, RANGE_BITS = 24, 16
+#: Pivots of a list before the exact end, and how many of them a group is verified with.
+PIVOTS, PARTNERS = 3, 3
+#: In the exact end, rows of a block, rows that it meets in one task's group, and rows of a list whose pairs are looked at one by one.
+BLOCK, SLICE, SHORT = 256, 1024, 64
 #: A shingle whose bucket counts more than so many times the mean bucket, and so many more, has HEAVY in its name: its list may hold much of the rows.
 HEAVY_MEANS, HEAVY_LEAST, HEAVY = 4, 4096, np.uint64(1 << 62)
 #: Bits of the map that tells which texts' sets are wanted: 2 MB, whatever the input; a full map only filters less.
@@ -120,18 +121,41 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, S
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = np.zeros(1 << BUCKET_BITS, np.int64)
+    """(part, at, n): the buckets of each range that a task has met, in two bytes each, and their counts in four."""
+    count = np.zeros(1 << BUCKET_BITS, np.uint32)
     for _, sets in _sets(batches):
-        count += np.bincount(sets.bucket(), minlength=1 << BUCKET_BITS)
-    used = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used])], ["bucket", "n"])
+        np.add.at(count, sets.bucket(), 1)
+    for part, own in enumerate(count.reshape(-1, 1 << RANGE_BITS)):
+        at = np.flatnonzero(own)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())], ["part", "at", "n"])
 
 
-def bucket_counts(rows: DataFrame) -> np.ndarray:
-    got = rows.select("_text").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, levels, total) of the ranges that a task has got."""
+    counts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, at, n in zip(*(batch.column(c) for c in ("part", "at", "n")), strict=True):
+            own = counts.setdefault(part.as_py(), np.zeros(1 << RANGE_BITS, np.int64))
+            own[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
+    for part, own in counts.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level(own).tobytes()], pa.binary()), pa.array([int(own.sum())], pa.int64())], ["part", "levels", "total"])
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    """A byte that rises with the count: the count up to 64, then steps of a sixteenth, 255 from seven million on."""
+    return np.minimum(np.where(count <= 64, count, 64 + np.log(np.maximum(count, 64) / 64) / np.log(1 + 1 / 16)), 255).astype(np.uint8)
+
+
+def bucket_levels(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The level of each bucket's count, and the level above which a bucket is heavy."""
+    counts = rows.select("_text").mapInArrow(_counts, "part int, at binary, n binary")
+    got = counts.repartition(partitions(rows.sparkSession), "part").mapInArrow(_levels, "part int, levels binary, total long").toArrow()
+    out = np.zeros((1 << (BUCKET_BITS - RANGE_BITS), 1 << RANGE_BITS), np.uint8)
+    for part, levels in zip(got.column("part").to_pylist(), got.column("levels"), strict=True):
+        out[part] = np.frombuffer(levels.as_py(), np.uint8)
+    mean = sum(got.column("total").to_pylist()) >> BUCKET_BITS
+    return out.ravel(), int(level(np.array(HEAVY_MEANS * mean + HEAVY_LEAST)))
 
 
 def prefix_size(n):
@@ -139,11 +163,11 @@ def prefix_size(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def _sign(batches: Iterator[pa.RecordBatch], count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    heavy = HEAVY_MEANS * int(count.mean()) + HEAVY_LEAST
+def _sign(batches: Iterator[pa.RecordBatch], levels: np.ndarray, heavy: int) -> Iterator[pa.RecordBatch]:
     for block, sets in _sets(batches):
-        # tokens are sorted within a row, so a stable sort by the bucket's count leaves ties in the order of tokens
-        order = np.argsort((sets.row << 44) | np.minimum(count[sets.bucket()], (1 << 44) - 1), kind="stable")
+        # tokens are sorted within a row, so a stable sort by the bucket's level leaves ties in the order of tokens
+        own = levels[sets.bucket()]
+        order = np.argsort((sets.row << 8) | own, kind="stable")
         keep = np.where(sets.size > 0, prefix_size(sets.size), 0)
         place = np.arange(len(order)) - np.repeat(sets.cut[:-1], sets.size)
         first = order[place < np.repeat(keep, sets.size)]
@@ -151,15 +175,15 @@ def _sign(batches: Iterator[pa.RecordBatch], count: np.ndarray) -> Iterator[pa.R
         offsets = np.concatenate([[0], np.cumsum(keep)])
         columns = [
             block.column("doc_id"), block.column("key"), pa.array(sets.size.astype(np.int64)), pa.array(sets.digests(sets.token, sets.size), pa.binary()),
-            pa.array(sets.digests(prefix, keep), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((prefix | np.where(count[sets.bucket()[first]] > heavy, HEAVY, np.uint64(0))).view(np.int64))),
+            pa.array(sets.digests(prefix, keep), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((prefix | np.where(own[first] > heavy, HEAVY, np.uint64(0))).view(np.int64))),
         ]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "fp", "group_fp", "prefix"])
 
 
-def signatures(rows: DataFrame, count) -> DataFrame:
+def signatures(rows: DataFrame, levels) -> DataFrame:
     """doc_id, key, n (size of the set), fp (of the set), group_fp (of prefix and size), prefix in the global order; fp is null for an empty set."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda b: _sign(b, count.value), f"doc_id {kind}, key long, n long, fp binary, group_fp binary, prefix array<long>")
+    return rows.mapInArrow(lambda b: _sign(b, *levels.value), f"doc_id {kind}, key long, n long, fp binary, group_fp binary, prefix array<long>")
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -233,10 +257,18 @@ class Index:
         return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n), np.repeat(hit, n)
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; those of a list column as arrays, not number by number."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    at = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy()[at[0] : at[-1]], at[1:-1] - at[0]) if len(column) else []
+
+
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, bool, tuple]]:
     """(key, is it of side 0, the columns' values) of sorted rows."""
     for batch in batches:
-        for key, side, *values in zip(*(batch.column(c).to_pylist() for c in ("key", "side", *columns)), strict=True):
+        for key, side, *values in zip(*(_values(batch.column(c)) for c in ("key", "side", *columns)), strict=True):
             yield key, side == 0, tuple(values)
 
 
@@ -259,7 +291,7 @@ def _promise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch(ended())
             now, own, index, out = key, [], None, []
         if first:
-            own.append((gid, root, n, np.array(tokens), np.array(pos)))
+            own.append((gid, root, n, tokens, pos))
             continue
         if not own:
             continue
@@ -267,12 +299,12 @@ def _promise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, hot = Index([r[3] for r in own]), np.zeros(len(own), bool)
             place = np.concatenate([r[4] for r in own])[index.order]
             ids, roots, sizes = (np.array([r[k] for r in own]) for k in (0, 1, 2))
-        at, asked = index.hits(np.array(tokens))
+        at, asked = index.hits(tokens)
         row = index.row[at]
         shared = np.bincount(row, minlength=len(own))
         last_a, last_b = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
         np.maximum.at(last_a, row, place[at])
-        np.maximum.at(last_b, row, np.array(pos)[asked])
+        np.maximum.at(last_b, row, pos[asked])
         need = (PERCENT * (sizes + n) + 99 + PERCENT) // (100 + PERCENT)
         most = shared + np.minimum(np.minimum(sizes - last_a, n - last_b) - 1, (PERCENT * np.maximum(sizes, n) + 99) // 100 - 1)
         ok = (shared > 0) & (roots != root) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)) & (most >= need) & (ids != gid)
@@ -349,17 +381,20 @@ def _side(name: str, row: str = "") -> list:
 
 
 def pivoted(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b): each group with the one it shares most with among the first groups of its lists by PIVOTS hashes.
+    """Pairs (a, b): each group with the PARTNERS that it shares most with among its lists' pivots: the group that has the list's shingle first in its
+    prefix, and the first ones by hashes.
 
-    A hash picks the same group in all lists of a family, so what two share is counted nearly in full; what is missed is left to the exact end.
+    A hash picks the same group in all lists of a family, so what two share is counted nearly in full; what is missed is left to the exact end. In a family whose
+    members are about as far apart as the threshold, few link with one that a hash picks, and the exact end would compare nearly all with all. The one that has a
+    shared shingle first has the fewest of its own: it is nearest to the others.
     """
-    one = lambda k: F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("order"), "gid", "n", "pos", "seq"))
+    one = lambda k: F.min(F.struct(F.when(F.lit(k == 0), F.col("pos")).alias("own"), F.xxhash64("gid", F.lit(k)).alias("order"), "gid", "n", "pos", "seq"))
     first = lists.groupBy("token").agg(F.array(*[one(k) for k in range(PIVOTS)]).alias("pivots"))
-    first = stage(first.select("token", F.explode(F.array_distinct(F.transform("pivots", lambda p: p.dropFields("order")))).alias("pivot")), "pivots")
+    first = stage(first.select("token", F.explode(F.array_distinct(F.transform("pivots", lambda p: p.dropFields("own", "order")))).alias("pivot")), "pivots")
     met = lists.join(first, "token").select(*_side("a"), *_side("b", "pivot.")).where(f"a != b and {SIZES} and {PLACES}")
     both = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("pa").alias("last_a"), F.max("pb").alias("last_b")).where(SHARED)
-    top = both.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("top"))
-    return top.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct()
+    top = both.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(F.desc("shared"), F.desc("b")))).where(f"place <= {PARTNERS}")
+    return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def mixed(lists: DataFrame, held: DataFrame) -> DataFrame:
@@ -370,24 +405,33 @@ def mixed(lists: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def meetings(left: DataFrame) -> DataFrame:
-    """(key, side, gid, root): blocks of at most BLOCK rows (side 0) with slices of all the rows that they meet in a list (side 1).
+    """(key, side, gid, root): blocks of at most BLOCK rows (side 0) with slices of the rows that they meet in a list (side 1); staged.
 
     In each list the groups outside its largest component are few; they meet all of it. Each of the few belongs to one block, that of the longest list
-    it is among the few of, so a family is a few blocks, however many lists it shares.
+    it is among the few of, so a family is a few blocks, however many lists it shares. In lists of up to SHORT rows, most of which share a shingle by chance, pairs are
+    looked at first, and only those whose sizes and places allow the threshold meet.
     """
     held = left.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("length"), F.max_by("root", F.struct("n", "root")).alias("most"))
-    few = stage(left.select("token", "gid", "root").join(stage(held, "lengths"), "token").where("root != most").select("token", "gid", "root", "length"), "few")
-    home = few.groupBy("gid", "root").agg(F.max(F.struct("length", "token")).alias("home"))
+    few = stage(left.join(stage(held, "lengths"), "token").where("root != most"), "few")
+    one = few.where(f"length <= {SHORT}").select("token", "length", "most", F.col("root").alias("ra"), *_side("a"))
+    two = left.select("token", F.col("root").alias("rb"), *_side("b"))
+    # two of the few meet once
+    near = one.join(two, "token").where(f"ra != rb and (rb = most or a < b) and {SIZES} and {PLACES}")
+    near = stage(near.select("token", "length", F.col("a").alias("gid"), F.col("ra").alias("root"), "b", "rb"), "near")
+    crowds = few.where(f"length > {SHORT}").select("token", "length", "gid", "root")
+    home = crowds.unionByName(near.select(crowds.columns)).groupBy("gid", "root").agg(F.max(F.struct("length", "token")).alias("home"))
     size = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     block = F.xxhash64("home.token", F.pmod(F.xxhash64("gid", "root"), "blocks"))
     homes = stage(home.join(size, "home").select("gid", "root", block.alias("block")), "homes")
-    meets = few.join(homes, ["gid", "root"]).select("token", "block").distinct()
-    met = stage(left.select("token", "gid", "root").join(meets, "token").select("gid", "root", "block").distinct(), "met")
+    meets = crowds.join(homes, ["gid", "root"]).select("token", "block").distinct()
+    met = left.select("token", "gid", "root").join(meets, "token").select("gid", "root", "block")
+    met = met.union(near.join(homes, ["gid", "root"]).select(F.col("b").alias("gid"), F.col("rb").alias("root"), "block"))
+    met = stage(met.distinct(), "met")
     slices = stage(met.groupBy("block").agg(F.ceil(F.count("*") / SLICE).alias("slices")), "slices")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")
     here = homes.join(slices, "block").select("block", every, F.lit(0).alias("side"), "gid", "root")
     there = met.join(slices, "block").select("block", F.pmod(F.xxhash64("gid"), "slices").alias("slice"), F.lit(1).alias("side"), "gid", "root")
-    return here.unionByName(there).select(F.xxhash64("block", "slice").alias("key"), "side", "gid", "root")
+    return stage(here.unionByName(there).select(F.xxhash64("block", "slice").alias("key"), "side", "gid", "root"), "meetings")
 
 
 def by_key(rows: DataFrame) -> DataFrame:
@@ -396,9 +440,11 @@ def by_key(rows: DataFrame) -> DataFrame:
 
 def remaining(left: DataFrame) -> DataFrame:
     """(key, side, gid, root): the meetings that may bring a link, by what the prefixes share; staged."""
+    met = meetings(left)
     row = F.array_sort(F.collect_list(F.struct("token", "pos")))  # as many as a prefix has shingles
-    prefix = left.groupBy("gid", "root", "n").agg(row.alias("row")).select("gid", "root", "n", F.col("row.token").alias("tokens"), F.col("row.pos").alias("pos"))
-    rows = by_key(meetings(left).join(prefix, ["gid", "root"]).select("key", "side", "gid", "root", "n", "tokens", "pos"))
+    prefix = left.join(met.select("gid", "root").distinct(), ["gid", "root"], "left_semi").groupBy("gid", "root", "n").agg(row.alias("row"))
+    prefix = prefix.select("gid", "root", "n", F.col("row.token").alias("tokens"), F.col("row.pos").alias("pos"))
+    rows = by_key(met.join(prefix, ["gid", "root"]).select("key", "side", "gid", "root", "n", "tokens", "pos"))
     return stage(rows.mapInArrow(_promise, "key long, side int, gid long, root long"), "promising")
 
 
@@ -440,8 +486,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"), F.xxhash64(docs[id_col], docs[text_col]).alias("key"))
-    count = spark.sparkContext.broadcast(bucket_counts(rows))
-    signed = stage(signatures(rows, count), "signatures")
+    levels = spark.sparkContext.broadcast(bucket_levels(rows))
+    signed = stage(signatures(rows, levels), "signatures")
     some = signed.where("fp is not null")
     groups = some.select("group_fp", "n", "prefix").groupBy("group_fp", "n", "prefix").agg(F.lit(1)).select("group_fp", "n", "prefix")
     groups = stage(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")

@@ -95,6 +95,46 @@ def test_exact_end_tells_no_more_links_than_rows(spark, monkeypatch):
     assert told and 299 <= told[0] < 3 * 300
 
 
+def test_short_lists_meet_by_size_and_place(spark):
+    """Forty texts of which each shares one shingle late in its prefix can't link, so none meets another; two that share all up to there, or in a long list, do."""
+    late = [(1, gid, 100, 15, 1, gid) for gid in range(40)]
+    other_size = [(2, 40, 100, 0, 1, 40), (2, 41, 70, 0, 1, 41)]
+    near = [(3, 50, 100, 15, 16, 50), (3, 51, 100, 15, 16, 51)]
+    crowd = [(4, gid, 100, 15, 1, gid) for gid in range(100, 100 + jaccard.SHORT + 1)]
+    left = spark.createDataFrame(late + other_size + near + crowd, "token long, gid long, n long, pos int, seq int, root long")
+    met = jaccard.meetings(left).collect()
+    assert {r.gid for r in met} == {50, 51} | {r[1] for r in crowd}
+    assert len({r.key for r in met if r.gid in (50, 51)}) == 1
+
+
+def test_pivots_join_a_family_about_the_threshold(spark, monkeypatch):
+    """Members with up to seven words changed: pairs link about as often as not, but nearly all link with the one that changed least."""
+    r, base, told, raised = random.Random(7), words(300, 11), [], jaccard.raised
+    family = []
+    for k in range(250):
+        w = list(base)
+        for i in r.sample(range(300), 1 + k % 7):
+            w[i] = f"new{k}x{i}"
+        family.append((k, " ".join(w)))
+    monkeypatch.setattr(jaccard, "raised", lambda roots, links: told.append(links.count()) or raised(roots, links))
+    df = spark.createDataFrame(family, "doc_id long, text string").repartition(3)
+    assert collected(jaccard.join(df)) == brute(family)
+    assert told and told[0] < 60, told
+
+
+def test_levels_are_those_of_all_rows(spark, corpus):
+    df = spark.createDataFrame([(t,) for _, t in corpus], "_text string").repartition(5)
+    levels, heavy = jaccard.bucket_levels(df)
+    count = np.zeros(1 << jaccard.BUCKET_BITS, np.int64)
+    for _, t in corpus:
+        np.add.at(count, jaccard.Sets(pa.array([t], pa.string())).bucket(), 1)
+    assert (levels == jaccard.level(count)).all()
+    assert heavy == jaccard.level(np.array(jaccard.HEAVY_LEAST))
+    steps = jaccard.level(np.arange(1 << 20)).astype(int)
+    assert (np.diff(steps) >= 0).all() and steps[:65].tolist() == list(range(65))
+    assert jaccard.level(np.array([0, 10**6, 10**7, 1 << 62])).tolist() == [0, 223, 255, 255]
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id string, text string")
     assert jaccard.join(empty).count() == 0
